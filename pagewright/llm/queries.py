@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding
+from . import sharding, storage, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shuffles(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to files of directly addressable codes and read back."""
+    folder = storage.new_file_folder(spark, "token-files")
+    manifest = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, folder, shuffles(spark))
+    return token_files.read(manifest, folder)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens and whether they pass 4096."""
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        token_counts.token_count(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("n_tokens"),
+    )
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards whose counts differ by one at most."""
     docs = table(spark, sf_dir, "documents")
@@ -23,7 +46,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op9_sharding": op9_sharding}
+    return {f.__name__: f for f in (op6_token_files, op8_token_counts, op9_sharding)}
 
 
 def oracle_sql():
