@@ -34,17 +34,17 @@ def cell_arcs(spark, nodes: DataFrame) -> DataFrame:
     """(cell, arc) for each of the CELLS cells: the first virtual node at or after it, around the ring."""
     starts = nodes.groupBy("cell").agg(F.min("arc").alias("arc"))
     cells = spark.range(CELLS, numPartitions=1).select(F.col("id").cast("int").alias("cell")).join(F.broadcast(starts), "cell", "left")
-    ahead = W.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(0, W.unboundedFollowing)  # CELLS rows
-    return cells.select("cell", F.coalesce(F.first("arc", ignorenulls=True).over(ahead), F.lit(0)).alias("arc"))
+    ahead = W.partitionBy(F.lit(0)).orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, 0)  # CELLS rows
+    return cells.select("cell", F.coalesce(F.last("arc", ignorenulls=True).over(ahead), F.lit(0)).alias("arc"))
 
 
 def followers(nodes: DataFrame, shards: int) -> DataFrame:
     """(arc, following): the shards in the order of their first virtual node at or after the arc."""
     pairs = nodes.select("arc", F.col("shard").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     by_shard = W.partitionBy("shard")
-    ahead = by_shard.orderBy("arc").rowsBetween(0, W.unboundedFollowing)
+    ahead = by_shard.orderBy(F.desc("arc")).rowsBetween(W.unboundedPreceding, 0)
     own = F.when(F.col("own") == F.col("shard"), F.col("arc"))
-    after = F.coalesce(F.first(own, ignorenulls=True).over(ahead), F.min(own).over(by_shard) + F.count("*").over(by_shard))
+    after = F.coalesce(F.last(own, ignorenulls=True).over(ahead), F.min(own).over(by_shard) + F.count("*").over(by_shard))
     met = pairs.select("arc", F.struct(after.alias("after"), "shard").alias("met")).groupBy("arc").agg(F.sort_array(F.collect_list("met")).alias("met"))
     return met.select("arc", F.col("met.shard").alias("following"))
 
