@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding, storage, token_counts, token_files
+from . import language, repetition, sharding, storage, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, repeated spans and verdict."""
+    judged = repetition.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "quality.*")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to files of directly addressable codes and read back."""
     folder = storage.new_file_folder(spark, "token-files")
@@ -45,8 +51,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.fold(F.col("doc_id")) == 2
+    model = language.fit(docs.filter(~held_out), F.col("doc_id"))
+    found = language.identified(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def queries():
-    return {f.__name__: f for f in (op6_token_files, op8_token_counts, op9_sharding)}
+    return {f.__name__: f for f in (op5_repetition, op6_token_files, op8_token_counts, op9_sharding, op10_language)}
 
 
 def oracle_sql():
