@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, repetition, sharding, storage, token_counts, token_files
+from . import language, repetition, sharding, storage, token_counts, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page in WARC archives, read back."""
+    folder = storage.new_file_folder(spark, "warc")
+    manifest = warc.write(table(spark, sf_dir, "pages"), folder, shuffles(spark))
+    return warc.read(manifest, folder)
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base counts, repeated spans and verdict."""
     judged = repetition.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -61,7 +68,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op5_repetition, op6_token_files, op8_token_counts, op9_sharding, op10_language)}
+    return {f.__name__: f for f in (op3_warc, op5_repetition, op6_token_files, op8_token_counts, op9_sharding, op10_language)}
 
 
 def oracle_sql():

@@ -20,7 +20,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .text import IS_SPACE, Texts, slices
 
-MIN_WORDS, MAX_COVERED, MAX_REPEAT = 8, 0.3, 400
+MIN_WORDS, MAX_COVERED, MAX_REPEAT = 8, 0.4, 400
 MIN_COUNT, MAX_WINDOWS = 50, 50  # the base rule: words at least, percent of words in repeated windows at most
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
