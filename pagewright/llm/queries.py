@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, repetition, sharding, storage, token_counts, token_files, warc
+from . import language, repetition, sharding, storage, token_counts, token_files, urls, warc
+
+URL_RULES = [urls.Rule("allow", "org"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, folder)
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, or else by the words of its names."""
+    pages = table(spark, sf_dir, "pages")
+    judged = urls.judged(pages.select("page_id", "url"), urls.word_counts(pages, "html"), URL_RULES)
+    return judged.select("page_id", *(F.col(f"filter.{c}").alias(c) for c in ("host", "path", "rule", "verdict", "score")))
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base counts, repeated spans and verdict."""
     judged = repetition.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -68,7 +77,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_warc, op5_repetition, op6_token_files, op8_token_counts, op9_sharding, op10_language)}
+    return {f.__name__: f for f in (op3_warc, op4_urls, op5_repetition, op6_token_files, op8_token_counts, op9_sharding, op10_language)}
 
 
 def oracle_sql():
