@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ from . import storage
 
 MAGIC, BLOCK = b"PWDAC001", 512
 ROLL = 16_000_000  # tokens in a file
-KEPT_WORDS, KEPT_LENGTH = 300_000, 64  # bound of a worker's memory of encoded words
+KEPT_WORDS, KEPT_LENGTH, TOGETHER = 400_000, 64, 500  # bound of a worker's memory of encoded words
 STEP = 1 << 20  # characters encoded at a time
 
 
@@ -125,9 +126,10 @@ class TokenFile:
 
 
 class Encoder(dict):
-    """Ids (uint32, as bytes) of texts under a tokenizers file whose pre-tokenizer never keeps white space.
+    """Ids (uint32, as bytes) of texts under a tokenizers file that lower-cases and never keeps white space.
 
-    Such a text's ids are those of its space-parted words in a row, so words met before are not encoded again.
+    Such a text's ids are those of its space-parted words in a row, so words met before are not encoded again. Words are
+    kept in two generations: when the young one is full it becomes the old one, and old words that are met move up.
     """
 
     def __init__(self, path: str):
@@ -135,21 +137,61 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.mark_id, self.mark = max((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.ends = {c.encode(): array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        if len(self) > KEPT_WORDS:
+        parted = []
+        for text in texts:
+            data = text.encode()
+            parted.append((data if b"<|" in data else data.lower()).replace(b"\n", b" ").split(b" "))  # A-Z; special tokens count as written
+        new, old = set().union(*parted).difference(self), self.old
+        if len(self) + len(new) > KEPT_WORDS:
+            self.old = dict(self)
             self.clear()
-        parted = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parted).difference(self)) if parted else []
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join(map(self.__getitem__, words)) for words in parted]
+            old, new = old | self.old, set().union(*parted)
+        unknown, stems = [], set()
         for word in new:
+            if (known := old.get(word)) is not None:
+                self[word] = known
+            else:
+                unknown.append(word)
+                stem, _ = self.stem(word)
+                if stem not in self:
+                    stems.add(stem)
+        stems = list(stems)
+        for stem, ids in zip(stems, self.encoded(stems), strict=True):
+            self[stem] = ids
+        for word in unknown:
+            stem, end = self.stem(word)
+            if end:
+                self[word] = self[stem] + self.ends[end]
+        out = [b"".join(map(self.__getitem__, words)) for words in parted]
+        for word in {*unknown, *stems}:
             if len(word) > KEPT_LENGTH:
                 del self[word]
         return out
 
+    @staticmethod
+    def stem(word: bytes) -> tuple[bytes, bytes]:
+        """The word without a last full stop or comma after an ASCII letter or digit, where the pre-tokenizer parts it anyway; and that mark."""
+        return (word[:-1], word[-1:]) if word[-1:] in (b".", b",") and word[-2:-1].isalnum() else (word, b"")
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; many are encoded at once with a special token between them, which parts any text."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            some = [w.decode() for w in words[at : at + TOGETHER]]
+            if any("<|" in w for w in some):
+                out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        return out
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.llm import storage, token_counts, token_files
 
 ODD = ["", " ", "a", "  a  b", "a\tb\nc", "<s> x </s>", "日本é", "a b　c", "a\x00b", "▁a", "A▁ b", "\n", " \n x", "x \n\n y", "\nx", "🙂🙂 ▁▁", "Über\r\nÉa", "a" * 5000, "ab " * 3000, "<|endoftext|>x <|startoftext|> I'll don't",
-       "é ́x", "x\x1cy\x85z", "ΑΣ Σ", "İI"]
+       "é ́x", "x\x1cy\x85z", "ΑΣ Σ", "İI", "<|ENDOFTEXT|> A", "İ Å"]
 
 
 def texts(n=400):
@@ -44,12 +44,14 @@ def test_codes_are_directly_addressable(n):
             token_files.TokenFile(data[:-1] + bytes([data[-1] ^ 1]))
 
 
-def test_ids_match_the_library():
+@pytest.mark.parametrize("kept", [5, 300_000])
+def test_ids_match_the_library(kept, monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    library = Tokenizer.from_file(path)
-    for t, got in zip(texts(), token_files.Encoder(path).texts(texts()), strict=True):
+    library, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    monkeypatch.setattr(token_files, "KEPT_WORDS", kept)
+    for t, got in zip(texts(), [x for i in range(0, len(texts()), 7) for x in own.texts(texts()[i : i + 7])], strict=True):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
