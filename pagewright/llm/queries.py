@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, repetition, sharding, storage, token_counts, token_files, urls, warc
+from . import language, lattice, repetition, sharding, storage, token_counts, token_files, urls, warc
 
 URL_RULES = [urls.Rule("allow", "org"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
 
@@ -45,6 +45,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, folder)
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded over the lattice of its words' pieces; counts and digests of the ids, and whether they decode to the text."""
+    return lattice.summary(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens and whether they pass 4096."""
     docs = table(spark, sf_dir, "documents")
@@ -77,7 +82,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_warc, op4_urls, op5_repetition, op6_token_files, op8_token_counts, op9_sharding, op10_language)}
+    return {f.__name__: f for f in (op3_warc, op4_urls, op5_repetition, op6_token_files, op7_lattice, op8_token_counts, op9_sharding, op10_language)}
 
 
 def oracle_sql():
