@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, lattice, repetition, sharding, storage, token_counts, token_files, urls, warc
+from . import decontaminate, jaccard, language, lattice, repetition, sharding, storage, token_counts, token_files, urls, warc
 
 URL_RULES = [urls.Rule("allow", "org"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
 
@@ -18,6 +18,12 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's 4-word shingles and the smallest document it is linked with, directly or not, at a Jaccard similarity of 0.85."""
+    found = jaccard.joined(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), "class_size", "n_links")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with the items."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -87,7 +93,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_decontamination, op3_warc, op4_urls, op5_repetition, op6_token_files, op7_lattice, op8_token_counts, op9_sharding, op10_language)}
+    return {f.__name__: f for f in (op1_jaccard, op2_decontamination, op3_warc, op4_urls, op5_repetition, op6_token_files, op7_lattice, op8_token_counts, op9_sharding, op10_language)}
 
 
 def oracle_sql():
