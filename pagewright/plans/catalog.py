@@ -1,11 +1,187 @@
 """The registry of queries over the driver's tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from ..functions import text as t
+from ..operators import chunk, clean, headers, layout, markdown, merge, notes
+from . import fixtures, structure
+from .oracles import ORACLES
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return structure.to_paragraphs(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir))
+
+
+def _on_lines(name: str, column):
+    return lambda spark, sf_dir: fixtures.lines(spark, sf_dir).select("doc_id", "line_no", column().alias(name))
+
+
+def _on_spans(**columns):
+    return lambda spark, sf_dir: fixtures.spans(spark, sf_dir).select("doc_id", "page", "seq", *(f().alias(n) for n, f in columns.items()))
+
+
+def _with_text(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "page_no", "para_no", layout.paragraph_text(F.col("spans")).alias("text"))
+
+
+def font_flags(spark, sf_dir):
+    return layout.with_font_flags(fixtures.spans(spark, sf_dir)).select("doc_id", "page", "seq", "is_bold", "is_mono")
+
+
+def flatten_blocks(spark, sf_dir):
+    """The spans nested into blocks of a line each, and flattened again."""
+    span = F.struct("text", "font", F.col("font_size").alias("size"), "flags", F.array("x0", "y0", "x1", "y1").alias("bbox"))
+    nested = fixtures.spans(spark, sf_dir).groupBy("doc_id", "page", "page_height").agg(F.sort_array(F.collect_list(F.struct("seq", span.alias("span")))).alias("spans"))
+    blocks = F.expr("transform(spans, s -> named_struct('lines', array(named_struct('spans', array(s.span)))))")
+    flat = layout.flatten_blocks(nested.select("doc_id", "page", "page_height", blocks.alias("blocks")))
+    return flat.select("doc_id", "page", "text", "font", "font_size", "x0", "y0", "x1", "y1", "flags")
+
+
+def table_antijoin(spark, sf_dir):
+    return layout.outside_tables(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir)).select("doc_id", "page", "seq", "text")
+
+
+def _inside(spark, sf_dir):
+    return layout.outside_tables(layout.with_font_flags(fixtures.spans(spark, sf_dir)), fixtures.tables(spark, sf_dir))
+
+
+def baseline_font(spark, sf_dir):
+    return headers.baseline_sizes(_inside(spark, sf_dir))
+
+
+def reading_order(spark, sf_dir):
+    return layout.reading_order(_inside(spark, sf_dir)).select("doc_id", "page", "seq", "line_no")
+
+
+def paragraphs(spark, sf_dir):
+    found, _ = _paragraphs(spark, sf_dir)
+    return found.select("doc_id", "page_no", "para_no", layout.paragraph_text(F.col("spans")).alias("text"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def classify_headers(spark, sf_dir):
+    return headers.with_levels(*_paragraphs(spark, sf_dir)).select("doc_id", "page_no", "para_no", "text", "is_mono", "level")
+
+
+def known_headers(spark, sf_dir):
+    return headers.known_headers(headers.with_levels(*_paragraphs(spark, sf_dir)))
+
+
+def drop_captions(spark, sf_dir):
+    return _with_text(clean.drop_captions(_paragraphs(spark, sf_dir)[0]))
+
+
+def running_headers(spark, sf_dir):
+    found, baselines = _paragraphs(spark, sf_dir)
+    return _with_text(clean.drop_running_headers(found, headers.known_headers(headers.with_levels(found, baselines))))
+
+
+def page_merge(spark, sf_dir):
+    return merge.page_joins(_paragraphs(spark, sf_dir)[0])
+
+
+def join_pages(spark, sf_dir):
+    return _with_text(merge.join_pages(_paragraphs(spark, sf_dir)[0]))
+
+
+def emit_markdown(spark, sf_dir):
+    levelled = headers.with_levels(*_paragraphs(spark, sf_dir))
+    return markdown.emit(levelled.filter("text <> ''"))
+
+
+def full_markdown(spark, sf_dir):
+    return structure.to_markdown(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir))
+
+
+def document_summary(spark, sf_dir):
+    """(doc_id, n_headers, n_paragraphs, n_chars, markdown_sha) of the whole chain."""
+    levelled = structure.kept(structure.to_levelled(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir)))
+    counts = levelled.groupBy("doc_id").agg(F.count_if(F.col("level") > 0).alias("n_headers"), F.count("*").alias("n_paragraphs"))
+    texts = markdown.to_text(structure.to_lines(levelled))
+    return counts.join(texts, "doc_id").select("doc_id", "n_headers", "n_paragraphs", F.length("markdown").cast("long").alias("n_chars"), F.sha2("markdown", 256).alias("markdown_sha"))
+
+
+def pipe_lines(spark, sf_dir):
+    return markdown.drop_repeated_headers(fixtures.lines(spark, sf_dir))
+
+
+def page_number_prefix(spark, sf_dir):
+    return markdown.drop_page_number(fixtures.lines(spark, sf_dir))
+
+
+def numbered_drop(spark, sf_dir):
+    return markdown.drop_numbered(fixtures.lines(spark, sf_dir))
+
+
+def md_sections(spark, sf_dir):
+    found = chunk.sections(fixtures.lines(spark, sf_dir))
+    return found.select("doc_id", "section_no", *(F.try_element_at("headers", F.lit(f"Header {n}")).alias(f"h{n}") for n in (1, 2, 3)), "content")
+
+
+def section_names(spark, sf_dir):
+    """Sections as chunks: thin ones dropped, the rest numbered and named by their outermost header."""
+    found = md_sections(spark, sf_dir).withColumn("n_chars", F.length(t.strip(F.col("content"))).cast("long")).filter("n_chars >= 100")
+    index = (F.row_number().over(W.partitionBy("doc_id").orderBy("section_no")) - 1).cast("int")
+    return found.select("doc_id", index.alias("chunk_index"), F.coalesce("h1", "h2", "h3", F.lit("")).alias("section_name"), "n_chars")
+
+
+def code_blocks(spark, sf_dir):
+    texts = markdown.to_text(fixtures.lines(spark, sf_dir), "text")
+    return texts.select("doc_id", F.posexplode(chunk.code_blocks(F.col("text"))).alias("block_no", "block")).withColumn("block_no", F.col("block_no").cast("long"))
+
+
+def chunks(spark, sf_dir):
+    return structure.to_chunks(fixtures.lines(spark, sf_dir))
+
+
+def chunk_stats(spark, sf_dir):
+    size = F.length("content")
+    return chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(size).alias("n_chars"), F.max(size).alias("longest"), F.min(size).alias("shortest"))
+
+
+def char_count(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+def note_json(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chunk_ = F.struct(F.col("source").alias("path"), F.col("text").alias("content"))
+    return notes.note_json(docs.select(F.col("doc_id").alias("note_id"), F.col("source").alias("title"), F.array("lang").alias("tags"), F.array(chunk_).alias("chunks")))
+
+
+def card_validate(spark, sf_dir):
+    """Turns of conversations taken as cards of a note."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    index = (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).cast("int")
+    mark = F.when(F.col("turn") % 5 == 4, ":").otherwise("::")
+    kind = F.when(F.col("role") == "user", "qa").when(F.col("role") == "assistant", "cloze").otherwise(F.col("role"))
+    cards = talks.select(
+        F.col("conv_id").alias("note_id"), index.alias("card_no"), F.concat(F.col("conv_id").cast("string"), mark, F.col("turn").cast("string")).alias("id"), kind.alias("type"), F.col("text").alias("front"),
+        F.concat(F.lit("turn-"), (F.col("turn") % 3).cast("string")).alias("source_path"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("chat"))).otherwise(F.array(F.lit("other"))).alias("tags"),
+    )
+    known = talks.select(F.col("conv_id").alias("note_id")).distinct().withColumns({"chunks": F.array(*(F.struct(F.lit(f"turn-{i}").alias("path"), F.lit("").alias("content")) for i in (0, 1))), "tags": F.array(F.lit("chat"))})
+    return notes.check_cards(cards, known).select("note_id", "card_no", "id_ok", "unique", "type_ok", "cloze_ok", "path_ok", "tags_ok", "first_of_kind")
+
 
 def queries():
     """Query functions by name."""
-    return {}
+    return {
+        "document_summary": document_summary,
+        "spans_fixture": fixtures.spans,
+        "md_fixture": fixtures.lines,
+        "normalize_text": _on_lines("normalized", lambda: t.normalize(F.col("line"))),
+        "strip_digits_seps": _on_lines("stripped", lambda: t.strip_digits(F.col("line"))),
+        "pipe_candidate": _on_lines("candidate", lambda: t.is_pipe_candidate(F.col("line"))),
+        "sentence_end": _on_spans(hyphen=lambda: t.ends_with_hyphen(F.col("text")), sentence=lambda: t.ends_sentence(F.col("text"))),
+        "table_caption": _on_spans(stripped=lambda: t.strip_caption(F.col("text"))),
+        "markdown": emit_markdown,
+        "full_markdown": full_markdown,
+        **{f.__name__: f for f in (font_flags, flatten_blocks, table_antijoin, baseline_font, reading_order, paragraphs, classify_headers, known_headers, drop_captions, running_headers, page_merge, join_pages,
+                                   pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, card_validate)},
+    }
 
 
 def oracle_sql():
     """DuckDB SQL by query name."""
-    return {}
+    return dict(ORACLES)
