@@ -59,3 +59,16 @@ def test_note_stream(spark, tmp_path):
 
 def test_timestamp(spark):
     assert spark.range(1).select(files.timestamp(F.lit("2024-01-02 03:04:05").cast("timestamp"))).first()[0] == "20240102_030405"
+
+
+def test_command_line(spark, tmp_path):
+    from pagewright import cli
+
+    (tmp_path / "ch1.md").write_text("# A\n" + "word " * 300)
+    logs = str(tmp_path / "logs" / "run.log")
+    assert cli.main(["chunk", str(tmp_path / "ch1.md"), "--book-title", "B", "--log-file", logs]) == 0
+    made = json.loads((tmp_path / "ch1.json").read_text())
+    assert [c["chunk_index"] for c in made] == [0, 1] and made[0]["chapter_name"] == "ch1" and made[0]["book_title"] == "B" and list(made[0]) == ["chunk_index", "content", "book_title", "chapter_name", "section_name", "metadata"]
+    assert cli.main(["chunk", str(tmp_path / "none.md"), "--log-file", logs]) == 1
+    assert cli.main(["chunk", str(tmp_path / "ch1.md"), "--overlap", "2000", "--log-file", logs]) == 1
+    assert "failed" in (tmp_path / "logs" / "run.log").read_text()
