@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, lattice, repetition, sharding, storage, token_counts, token_files, urls, warc
+from . import decontaminate, jaccard, language, lattice, oracles, repetition, sharding, storage, token_counts, token_files, urls, warc
 
 URL_RULES = [urls.Rule("allow", "org"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
 
@@ -21,7 +21,7 @@ def shuffles(spark: SparkSession) -> int:
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 4-word shingles and the smallest document it is linked with, directly or not, at a Jaccard similarity of 0.85."""
     found = jaccard.joined(table(spark, sf_dir, "documents"), width=4, percent=85)
-    return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), "class_size", "n_links")
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +97,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op1_jaccard": oracles.OP1, "op3_warc": oracles.OP3}
