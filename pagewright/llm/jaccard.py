@@ -1,18 +1,19 @@
 """N-gram Jaccard join with set-relation skipping: links between texts whose word n-gram sets are alike.
 
-Texts with equal sets are one class from the start. A class's n-grams are put in one order for all (rare before heavy, then by hash),
-and two classes can be linked only if the first (1 - t) * size + 1 of both share one (prefix filter).
+Texts with equal sets are one class from the start. A class's n-grams are put in one order for all (the more texts have them the later,
+then by hash), and two classes can be linked only if the first (1 - t) * size + 1 of both share one (prefix filter).
 
 *Index lists, skipped by blocks.* Lists of rare n-grams are sorted by set size and by position in the prefix. A
 class looks only at the block of sizes that can reach the threshold, and within it skips the positions from which too few n-grams
-are left.
+are left. Pairs that share fewer n-grams in their prefixes than a link needs are left out before sets are compared.
 
 *Answers derived from a similar set's.* Heavy n-grams (those many texts have) would make long lists. Each such list instead gets a
 leader, the class with the largest share of heavy n-grams; all others of the list are compared with it alone. Members
 linked with the leader are in its component. A class z that is not, but is near enough to have a link with a member y (the Jaccard distance is a
 metric, so both distances to the leader say whether that can be), is compared through what the comparisons with the leader have
 given: the n-grams in which y and z differ from it. Their common ones give the size of the symmetric difference of y and z
-exactly, so the link is decided without the sets. Lists that are left after ``ROUNDS`` leaders are joined pair by pair.
+exactly, so the link is decided without the sets. So are links between two classes that are near the leader
+and not linked with it. Lists that are left after ``ROUNDS`` leaders are joined pair by pair.
 
 N-grams and sets are told apart by 64-bit hashes. Defined results: null, empty and blank texts have no n-gram and no link; a text with fewer words than
 an n-gram has its whole word sequence as the one; the smallest key counts, null keys only where there is no other; rows alike
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import storage
 from .components import components
@@ -33,9 +34,11 @@ from .lattice import frequent
 from .skew import lookup
 from .text import Texts, mix, slices, windows
 
-HEAVY = 1 << 17  # n-grams that count as heavy, at most; an order alone depends on them
-HEAVY_SLICE, HEAVY_LOCAL, HEAVY_TEXTS = 1 << 22, 4, 16  # bytes looked at together, texts there and texts in all from which on an n-gram may be heavy
+HEAVY = 1 << 19  # n-grams that count as heavy, at most; an order alone depends on them
+HEAVY_SLICE, HEAVY_LOCAL, HEAVY_TEXTS = 1 << 22, 2, 16  # bytes looked at together, texts there and texts in all from which on an n-gram may be heavy
+BATCH = 2000  # rows sent to Python at once
 LONG, ROUNDS = 64, 3  # a list of rare n-grams longer than this is led too; leaders one after another
+NEAR = 16  # classes near a leader that may share a rare difference and are compared at once
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 27  # of the bitmap of classes whose sets are needed
 
 
@@ -72,8 +75,8 @@ def signatures(value: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, n
     return out.astype(np.int64), size, cuts
 
 
-def heavy_grams(docs: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of at most HEAVY n-grams that many texts have; found from slices where some texts share them."""
+def heavy_grams(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most HEAVY n-grams that many texts have, and a level from 1 on for each, by how many; found from slices where some texts share them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,26 +87,34 @@ def heavy_grams(docs: DataFrame, width: int) -> np.ndarray:
 
     met = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_TEXTS)
     met = storage.written(met, "heavy")
-    top = met.filter(F.col("n") >= frequent(met, HEAVY)).select("gram").toArrow()
-    return np.sort(np.asarray(top["gram"].combine_chunks()).view(np.uint64))
+    top = met.filter(F.col("n") >= frequent(met, HEAVY)).select("gram", (F.floor(F.log2("n") * 2) + 1).cast("int").alias("level")).toArrow()
+    grams_, levels = (np.asarray(top[c].combine_chunks()) for c in ("gram", "level"))
+    order = np.argsort(grams_.view(np.uint64))
+    return grams_.view(np.uint64)[order], levels[order].astype(np.int8)
 
 
-def profiles(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """(key, class, size, weight, rare, led) of each text: prefix n-grams in order, those that are heavy apart; weight: per mille of the set that is heavy."""
+def profiles(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, class, size, weight, rare, led) of each text: prefix n-grams in order, those that are heavy apart; weight: per mille of the set that is heavy.
+
+    A task gives the lists of a class once and leaves them empty for further texts of the class.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        (known, levels), given = shared.value, set()
         for batch in batches:
             for at, to, texts in slices(batch.column(1)):
                 value, of = grams(texts, width)
                 found, size, cuts = signatures(value, of, texts.n)
                 place = np.searchsorted(known, value)
-                is_heavy = (known[np.minimum(place, len(known) - 1)] == value) if len(known) else np.zeros(len(value), bool)
-                order = np.lexsort((value, is_heavy, of))
-                value, is_heavy = value[order], is_heavy[order]
+                level = np.zeros(len(value), np.int8)
+                if len(known):
+                    place = np.minimum(place, len(known) - 1)
+                    level = np.where(known[place] == value, levels[place], 0)
+                order = np.lexsort((value, level, of))
+                value, is_heavy = value[order], level[order] > 0
                 length = size - -(-size * percent // 100) + 1
-                length[size == 0] = 0
+                length[[n == 0 or c in given or given.add(c) is not None for c, n in zip(found.tolist(), size.tolist(), strict=True)]] = 0
                 in_prefix = np.arange(len(value)) - np.repeat(cuts[:-1], size) < np.repeat(length, size)
                 lists = []
                 for kind in (~is_heavy, is_heavy):
@@ -117,41 +128,49 @@ def profiles(docs: DataFrame, width: int, percent: int, heavy: np.ndarray) -> Da
 
 
 def listed_pairs(entries: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """From (gram, class, size, place, weight): (a, b, gram, weight). b is null for an entry of a list over LONG, which makes no pairs."""
+    """From (gram, class, size, place, weight, heavy): (a, b, least, gram, weight). b is null for an entry of a list over LONG, which makes no pairs.
+
+    least: rare n-grams that the two prefixes share if there is a link. Of two prefixes, that whose last n-gram comes first has in both prefixes all it
+    shares with the other set, so overlap - (size - prefix) n-grams are shared there at least, of which ``heavy`` may be heavy.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, rows, long = None, [], False
+        gram, rows, long, met = None, [], False, set()
         out: list[tuple] = []
 
         def close() -> None:
-            for i, (a, size_a, place_a, _) in enumerate(rows):
-                for b, size_b, place_b, _ in rows[i + 1 :]:  # by size, then place
+            for i, (a, size_a, place_a, _, heavy_a) in enumerate(rows):
+                for b, size_b, place_b, _, heavy_b in rows[i + 1 :]:  # by size, then place
                     if size_b * percent > size_a * 100:
                         break  # this block and all after it are too large
                     need = -(-(size_a + size_b) * percent // (100 + percent))
-                    if 1 + min(place_a, place_b) + min(size_a - place_a, size_b - place_b) - 1 >= need and a != b:
-                        out.append((min(a, b), max(a, b), None, None))
+                    if min(place_a, place_b) + min(size_a - place_a, size_b - place_b) >= need and a != b:
+                        least = need + 1 + min(-size_a * percent // 100, -size_b * percent // 100) - min(heavy_a, heavy_b)
+                        out.append((min(a, b), max(a, b), least, None, None))
 
-        names = ["a", "b", "gram", "weight"]
+        names = ["a", "b", "least", "gram", "weight"]
 
         def flushed() -> pa.RecordBatch:
             nonlocal out
-            columns = list(zip(*out, strict=True)) or [()] * 4
+            columns = list(zip(*out, strict=True)) or [()] * 5
             out = []
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names)
 
         for batch in batches:
             found = [c.to_pylist() for c in batch.columns]
             for g, *row in zip(*found, strict=True):
                 if g != gram:
                     close()
-                    gram, rows, long = g, [], False
+                    gram, rows, long, met = g, [], False, set()
                 if long:
-                    out.append((row[0], None, g, row[3]))
+                    out.append((row[0], None, None, g, row[3]))
                     continue
+                if row[0] in met:
+                    continue  # from another task
+                met.add(row[0])
                 rows.append(tuple(row))
                 if len(rows) > LONG:
-                    out += [(r[0], None, g, r[3]) for r in rows]
+                    out += [(r[0], None, None, g, r[3]) for r in rows]
                     rows, long = [], True
             if len(out) > 100_000:
                 yield flushed()
@@ -159,42 +178,67 @@ def listed_pairs(entries: DataFrame, percent: int, partitions: int) -> DataFrame
         yield flushed()
 
     ordered = entries.repartition(partitions, "gram").sortWithinPartitions("gram", "size", "place")
-    return ordered.mapInArrow(pairs, "a long, b long, gram long, weight int")
+    return ordered.mapInArrow(pairs, "a long, b long, least int, gram long, weight int")
 
 
 def needed_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
-    """(class, set array<long>) of the classes in needed (class), once each."""
+    """(class, set array<long>, sketch binary) of the classes in needed (class, least), from the text whose key is least. A few other
+    classes come with them, and a class may come twice. sketch: 16 bits of each n-gram."""
     spark = docs.sparkSession
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * needed.count()).bit_length()))
+    hashed = lambda df, key: df.withColumn("_hash", F.xxhash64(key))
+
+    def places(found: np.ndarray, hashes: pa.Array) -> np.ndarray:
+        return (mix(found.view(np.uint64) ^ np.asarray(hashes).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits, bool)
         for batch in batches:
-            own[np.asarray(batch.column(0)) % bits] = True
+            own[places(np.asarray(batch.column(0)), batch.column(1))] = True
         yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
 
     bitmap = np.zeros(bits // 8, np.uint8)
-    for row in needed.coalesce(16).mapInArrow(united, "bits binary").toLocalIterator():
+    for row in hashed(needed, "least").select("class", "_hash").coalesce(16).mapInArrow(united, "bits binary").toLocalIterator():
         bitmap |= np.frombuffer(row["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there, sent = np.unpackbits(shared.value).view(bool), set()
+        there = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            for _, _, texts in slices(batch.column(0)):
+            for at, to, texts in slices(batch.column(0)):
                 value, of = grams(texts, width)
                 found, size, cuts = signatures(value, of, texts.n)
-                kept = [i for i in np.flatnonzero((size > 0) & there[found % bits]).tolist() if not (found[i] in sent or sent.add(found[i]))]
-                parts = [value[cuts[i] : cuts[i + 1]].view(np.int64) for i in kept]
-                yield pa.RecordBatch.from_arrays([pa.array(found[kept]), pa.array(parts, pa.list_(pa.int64()))], ["class", "set"])
+                kept = np.flatnonzero((size > 0) & there[places(found, batch.column(1).slice(at, to - at))])
+                parts = [value[cuts[i] : cuts[i + 1]] for i in kept]
+                sketches = [(p >> np.uint64(20)).astype("<u2").tobytes() for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(found[kept]), pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["class", "set", "sketch"])
 
-    made = docs.select("text").mapInArrow(sets, "class long, set array<long>").join(needed, "class", "left_semi")
-    return made.groupBy("class").agg(F.first("set").alias("set"))
+    return hashed(docs, "key").select("text", "_hash").mapInArrow(sets, "class long, set array<long>, sketch binary")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, size_a, size_b, common, delta) of each pair (a, b); delta: what is in one set alone, where the pair is near enough for a member's link."""
-    joined = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
+    """(a, b, size_a, size_b, common, delta) of the pairs (a, b, star) that may be linked, and of star pairs that are near enough for a member's link.
+
+    delta: what is in one set alone, for near pairs. Sketches give no less than what is common, so they leave out pairs without sets being sent.
+    """
+    side = lambda c, of: sets.select(F.col("class").alias(c), F.col(of).alias(f"{of}_{c}"))
+    near = 2 * percent - 100
+
+    @F.arrow_udf("boolean")
+    def possible(first: pa.Array, second: pa.Array, star: pa.Array) -> pa.Array:
+        out = []
+        for x, y, of_leader in zip(first, second, star, strict=True):
+            x, y = (np.bincount(np.frombuffer(v.as_buffer(), "<u2"), minlength=1 << 16) for v in (x, y))
+            most, both = int(np.minimum(x, y).sum()), int(x.sum() + y.sum())
+            out.append(100 * most >= (near if of_leader.as_py() else percent) * (both - most))
+        return pa.array(out, pa.bool_())
+
+    asked = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
+    kept = asked.join(side("b", "sketch"), "b").join(side("a", "sketch"), "a").filter(possible("sketch_a", "sketch_b", "star")).select("a", "b")
+    kept = storage.written(kept.distinct(), "kept")
+    wanted = kept.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = storage.written(sets.select("class", "set").join(storage.written(wanted, "wanted"), "class", "left_semi"), "kept-sets")
+    joined = kept.join(side("b", "set"), "b").join(side("a", "set"), "a")
 
     @F.arrow_udf("struct<size_a:long,size_b:long,common:long,delta:array<bigint>>")
     def compare(first: pa.Array, second: pa.Array) -> pa.Array:
@@ -203,11 +247,11 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             x, y = np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64)
             apart = np.setxor1d(x, y, assume_unique=True)
             both = (len(x) + len(y) - len(apart)) // 2
-            near = 100 * both >= (2 * percent - 100) * (both + len(apart))
-            sizes_a.append(len(x)), sizes_b.append(len(y)), common.append(both), deltas.append(apart.view(np.int64) if near else None)
+            is_near = 100 * both >= near * (both + len(apart))
+            sizes_a.append(len(x)), sizes_b.append(len(y)), common.append(both), deltas.append(apart.view(np.int64) if is_near else None)
         return pa.StructArray.from_arrays([pa.array(sizes_a, pa.int64()), pa.array(sizes_b, pa.int64()), pa.array(common, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))], ["size_a", "size_b", "common", "delta"])
 
-    return joined.select("a", "b", compare("set_a", "set_b").alias("x")).select("a", "b", "x.*")
+    return joined.select("a", "b", compare("set_a", "set_b").alias("x")).groupBy("a", "b").agg(F.first("x").alias("x")).select("a", "b", "x.*")
 
 
 def is_link(common, size_a, size_b, percent: int):
@@ -230,48 +274,82 @@ def derived_links(led: DataFrame, percent: int) -> DataFrame:
     return shared.filter(link).select(F.col("z").alias("a"), "b")
 
 
+def near_links(led: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between two classes that are near one leader and not linked with it, from their differences from it alone; and (leader, class)
+    of the near classes that are done with all others near that leader.
+
+    With differences D and E two are linked if (|D| + |E| - 2 |D & E|) * (100 + t) <= (100 - t) * (|y| + |z|). As |E| is over what a link
+    with the leader allows, |D & E| is at least about half of |D|; so it is enough to join the first |D| - that + 1 differences, the rarest first. A class
+    that has one there which more than NEAR others have too is not done; it goes on to the next leader.
+    """
+    up, down = 100 + percent, 100 - percent
+    apart = F.col("size_a") + F.col("size_b") - 2 * F.col("common")
+    others = led.filter(~is_link(F.col("common"), F.col("size_a"), F.col("size_b"), percent)).select("a", F.col("b").alias("z"), F.col("size_b").alias("size"), apart.alias("apart"), "delta", "size_a")
+    grams_ = others.select("a", "z", "apart", F.ceil((F.col("apart") * up + down * (F.col("size_a") - F.col("size"))) / (2 * up)).alias("least"), F.explode("delta").alias("gram"))
+    counted = grams_.join(grams_.groupBy("a", "gram").agg(F.count("*").alias("n")), ["a", "gram"])
+    place = F.row_number().over(W.partitionBy("a", "z").orderBy("n", "gram"))
+    first = storage.written(counted.withColumn("place", place).filter(F.col("place") <= F.col("apart") - F.greatest("least", F.lit(1)) + 1).select("a", "gram", "z", "n"), "differences")
+    done = first.groupBy("a", "z").agg(F.max("n").alias("n")).filter(F.col("n") <= NEAR).select(F.col("a").alias("leader"), F.col("z").alias("class"))
+    short = first.filter((F.col("n") > 1) & (F.col("n") <= NEAR)).drop("n")
+    met = short.join(short.withColumnRenamed("z", "y"), ["a", "gram"]).filter("z < y").select("a", "z", "y").distinct()
+    side = others.drop("size_a")
+    both = met.join(side, ["a", "z"]).join(side.select("a", F.col("z").alias("y"), F.col("size").alias("size_y"), F.col("apart").alias("apart_y"), F.col("delta").alias("delta_y")), ["a", "y"])
+    same = F.size(F.array_intersect("delta", "delta_y"))
+    links = both.filter((F.col("apart") + F.col("apart_y") - 2 * same) * up <= down * (F.col("size") + F.col("size_y"))).select(F.col("z").alias("a"), F.col("y").alias("b"))
+    return links, done
+
+
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """(key, size, component, class_size, n_links) of each row of docs; component is the smallest key reachable by links.
 
     class_size: rows with the same set; n_links: links found between the class and others (links within a component that follow from others may be left out).
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    with storage.setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH):
+        return _joined(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), key, width, percent)
+
+
+def _joined(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = storage.written(profiles(docs, width, percent, heavy_grams(docs, width)), "profiles")
-    classes = rows.groupBy("class", "size").agg(F.min("key").alias("least"), F.count("*").alias("class_size"), F.first("weight").alias("weight"), F.first("rare").alias("rare"), F.first("led").alias("led")).filter("size > 0")
-    classes = storage.written(classes, "classes")
-    rare = classes.select("class", "size", "weight", F.posexplode("rare").alias("place", "gram")).select("gram", "class", "size", "place", "weight")
+    classes = storage.written(rows.filter("size > 0").groupBy("class").agg(F.min("key").alias("least"), F.count("*").alias("class_size")), "classes")
+    rare = rows.select("class", "size", "weight", F.size("led").alias("heavy"), F.posexplode("rare").alias("place", "gram")).select("gram", "class", "size", "place", "weight", "heavy")
     listed = storage.written(listed_pairs(rare, percent, partitions), "listed")
-    pairs = listed.filter("b is not null").select("a", "b").distinct()
+    pairs = listed.filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("least").alias("least"))
+    longs = listed.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.count("*").alias("long"))
+    for side in ("a", "b"):
+        pairs = pairs.join(longs.select(F.col("class").alias(side), F.col("long").alias(f"long_{side}")), side, "left")
+    unseen = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+    pairs = pairs.filter(F.col("shared") + unseen >= F.col("least")).select("a", "b", F.lit(False).alias("star"))
     long_lists = listed.filter("b is null").select("gram", F.col("a").alias("class"), "weight")
-    entries = storage.written(classes.select(F.explode("led").alias("gram"), "class", "weight").unionByName(long_lists), "entries")
-    rest, edges, sets, round_ = entries, [], None, 0
-    while True:
+    rest = storage.written(rows.select(F.explode("led").alias("gram"), "class", "weight").unionByName(long_lists).distinct().withColumn("home", F.lit(None).cast("long")), "entries")
+    edges, sets = [], None
+    link = is_link(F.col("common"), F.col("size_a"), F.col("size_b"), percent)
+    for round_ in range(ROUNDS + 1):
+        if round_:  # short lists, and in the end all, are joined pair by pair; the others get their next leader
+            short = rest.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1" if round_ == ROUNDS else f"n between 2 and {LONG}").select(F.col("gram").alias("g"))
+            now = rest.join(short, F.col("gram") == F.col("g"), "left_semi")
+            pairs = now.alias("x").join(now.alias("y"), F.expr("x.gram = y.gram and x.class < y.class and coalesce(x.home <> y.home, true)")).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.lit(False).alias("star")).distinct()
+            rest = rest.join(short, F.col("gram") == F.col("g"), "left_anti")
         leaders = rest.groupBy("gram").agg(F.max(F.struct("weight", "class")).alias("top"), F.count("*").alias("n")).filter("n > 1").select(F.col("gram").cast("string").alias("k"), F.col("top.class").alias("leader"))
         met = lookup(rest.withColumn("k", F.col("gram").cast("string")), leaders, "k").filter("leader is not null")
-        met = storage.written(met.select("gram", "class", "weight", "leader"), "met")
-        star = met.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
+        met = storage.written(met.select("gram", "class", "weight", "home", "leader"), "met")
+        star = met.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"), F.lit(True).alias("star")).distinct()
+        every = storage.written(pairs.unionByName(star), "pairs")
         if sets is None:
-            every = pairs.withColumn("star", F.lit(False)).unionByName(star.withColumn("star", F.lit(True)))
-            sets = storage.written(needed_sets(docs, width, storage.written(every.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "needed")), "sets")
-        else:
-            every = star.withColumn("star", F.lit(True))
-        seen = storage.written(compared(every.select("a", "b").distinct(), sets, percent), "compared")
-        link = is_link(F.col("common"), F.col("size_a"), F.col("size_b"), percent)
+            needed = storage.written(every.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", "least"), "needed")
+            sets = storage.written(needed_sets(docs, width, needed), "sets")
+        seen = storage.written(compared(every, sets, percent), "compared")
         edges.append(seen.filter(link).select("a", "b"))
         led = seen.join(star, ["a", "b"], "left_semi").filter("delta is not null")
-        edges.append(derived_links(led, percent))
-        done = led.filter(link).select(F.col("a").alias("leader"), F.col("b").alias("class"))
-        rest = storage.written(met.filter("class <> leader").join(done, ["leader", "class"], "left_anti").select("gram", "class", "weight"), "rest")
-        round_ += 1
+        links, done = near_links(led, percent)
+        edges += [derived_links(led, percent), links]
+        near = led.select(F.col("a").alias("leader"), F.col("b").alias("class"), link.alias("linked")).join(done.withColumn("now", F.xxhash64("leader", F.lit(round_))), ["leader", "class"], "left")
+        rest = met.filter("class <> leader").join(near, ["leader", "class"], "left").filter("not coalesce(linked, false)").select("gram", "class", "weight", F.coalesce("now", "home").alias("home"))
+        # classes near one leader are done with each other; a list of such ones alone is done
+        mixed = rest.groupBy("gram").agg(F.count_if(F.col("home").isNull()).alias("far"), F.min("home").alias("least"), F.max("home").alias("most")).filter("far > 0 or least < most").select(F.col("gram").alias("g"))
+        rest = storage.written(rest.join(mixed, F.col("gram") == F.col("g"), "left_semi"), "rest")
         if rest.isEmpty():
             break
-        if round_ == ROUNDS:
-            other = rest.select("gram", F.col("class").alias("b"))
-            left = rest.select("gram", F.col("class").alias("a")).join(other, "gram").filter("a < b").select("a", "b").distinct()
-            edges.append(compared(left, sets, percent).filter(link).select("a", "b"))
-            break
     links = edges[0]
     for more in edges[1:]:
         links = links.unionByName(more)
