@@ -1,6 +1,7 @@
 """Spans, table boxes and Markdown lines derived from the driver's documents, as SQL for Spark and for DuckDB.
 
-The driver's texts have no layout, so the structuring operators get theirs from these. Whole tables and whole texts are used.
+The driver's texts have no layout, so the structuring operators get theirs from these. Whole tables are used. ``spans`` takes the first
+nine words of a line (three of a header's); ``all_words_spans`` takes every word.
 """
 
 from __future__ import annotations
@@ -13,31 +14,39 @@ DIALECTS = {
         "lines": "select doc_id, cast(pos as bigint) as ln, col as line from (select doc_id, posexplode(split(text, '\\n', -1)) from documents)",
         "words": "array_join(slice({w}, {a}, {n}), ' ')",
         "split": "split({x}, ' ')",
+        "size": "size(w)",
         "int": "int",
     },
     "duckdb": {
         "lines": "select doc_id, i as ln, string_split(text, chr(10))[i + 1] as line from (select doc_id, text, unnest(range(len(string_split(text, chr(10))))) as i from documents)",
         "words": "array_to_string(list_slice({w}, {a}, {a} + {n} - 1), ' ')",
         "split": "string_split({x}, ' ')",
+        "size": "len(w)",
         "int": "int",
     },
 }
 
 
-def spans_sql(engine: str) -> str:
-    """Spans of a layout of five lines a page: headers, body, code, captions, numbered text and running headers, up to three spans a line."""
+def spans_sql(engine: str, all_words: bool = False) -> str:
+    """Spans of a layout of five lines a page: headers, body, code, captions, numbered text and running headers, up to three spans a line.
+
+    all_words: a header's span and the third span of a line go to the line's end.
+    """
     d = DIALECTS[engine]
-    words = lambda a: d["words"].format(w="w", a=a, n=3)
+    words = lambda a, n=3: d["words"].format(w="w", a=a, n=n)
+    last, line, title, first = words(7), "", "a", "a"
+    if all_words:
+        last, line, title, first = words(7, d["size"]), f"{words(1, d['size'])} as line, ", "line", "case when kind in ('H', 'I', 'J') then line else a end"
     return f"""
 with l0 as ({d["lines"]}),
 l1 as (select doc_id, ln, {d["split"].format(x="line")} as w from l0 where length(line) > 0),
-l2 as (select doc_id, ln, cast(floor(ln / 5) as int) as page, ln % 5 as r, {words(1)} as a, {words(4)} as b, {words(7)} as c,
+l2 as (select doc_id, ln, cast(floor(ln / 5) as int) as page, ln % 5 as r, {line}{words(1)} as a, {words(4)} as b, {last} as c,
   90 + 30 * (ln % 5) - (case when ln % 3 = 2 then 14 else 0 end) as y,
   case when ln = 0 then 'H' else case (doc_id * 7 + ln) % 12 when 0 then 'H' when 1 then 'M' when 2 then 'C' when 5 then 'N' when 7 then 'I' when 9 then 'J' else 'B' end end as kind from l1),
-t as (select doc_id, a as title from l2 where ln = 0),
+t as (select doc_id, {title} as title from l2 where ln = 0),
 rp as (select distinct l2.doc_id, page, title from l2 join t on l2.doc_id = t.doc_id where page > 0 and l2.doc_id % 5 > 0),
 sp as (
-  select doc_id, page, ln * 3 + 2 as seq, case kind when 'C' then concat('Table ', cast(ln as varchar(20)), '. ', a) when 'N' then concat(cast(ln as varchar(20)), ' ', a) else a end as text, kind, 72 as x0, y as y0 from l2
+  select doc_id, page, ln * 3 + 2 as seq, case kind when 'C' then concat('Table ', cast(ln as varchar(20)), '. ', a) when 'N' then concat(cast(ln as varchar(20)), ' ', a) else {first} end as text, kind, 72 as x0, y as y0 from l2
   union all select doc_id, page, ln * 3 + 1, case when r = 4 and doc_id % 4 = 0 and length(c) = 0 then concat(b, '-') else b end, kind, 250, y + (doc_id + ln) % 5 from l2 where kind in ('B', 'M', 'C', 'N') and length(b) > 0
   union all select doc_id, page, ln * 3 + 3, case when r = 4 and doc_id % 4 = 0 then concat(c, '-') else c end, kind, 420, y + (doc_id + ln) % 5 + ln % 4 from l2 where kind in ('B', 'M', 'C', 'N') and length(c) > 0
   union all select doc_id, page, 0, case when page % 3 = 2 then concat(title, ' | ', cast(page + 1 as varchar(20))) when page % 3 = 1 then concat(cast(page + 1 as varchar(20)), ' | ', title) else concat(cast(page + 1 as varchar(20)), ' | ', title, ' Trailing body') end, 'R', 72, 30 from rp
@@ -79,6 +88,10 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, spans_sql("spark"))
 
 
+def all_words_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, spans_sql("spark", all_words=True))
+
+
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, TABLES_SQL)
 

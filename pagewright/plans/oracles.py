@@ -135,3 +135,6 @@ select doc_id, line_no, case when line_no = first then regexp_extract(line, '\\A
 select note_id, card_no, starts_with(id, concat(note_id, '::')) as id_ok, count(*) over (partition by note_id, id) = 1 as "unique", coalesce(type in ('qa', 'cloze'), false) as type_ok, coalesce(type <> 'cloze' or contains(front, '{{c1::'), false) as cloze_ok,
   source_path in ('turn-0', 'turn-1') as path_ok, list_contains(tags, 'chat') as tags_ok, row_number() over (partition by note_id, lower(trim(front)) order by card_no) = 1 as first_of_kind from c""",
 }
+
+#: The same over spans of all words.
+ORACLES |= {f"{name}_all_words": sql.replace(spans_sql("duckdb"), spans_sql("duckdb", all_words=True)) for name, sql in ORACLES.items() if spans_sql("duckdb") in sql}

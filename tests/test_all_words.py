@@ -1,0 +1,26 @@
+"""The queries named _all_words work on every word of the documents."""
+
+from collections import Counter
+
+from pagewright.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_word_is_in_a_span(spark):
+    spans = {}
+    for r in catalog.queries()["spans_fixture_all_words"](spark, SF).select("doc_id", "text").collect():
+        spans.setdefault(r.doc_id, Counter()).update(w.rstrip("-") for w in r.text.split(" "))
+    n = 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        words = Counter(w.rstrip("-") for line in (r.text or "").split("\n") if line for w in line.split(" "))
+        n += words.total()
+        assert not words - spans.get(r.doc_id, Counter())
+    assert n
+
+
+def test_all_span_queries_have_it():
+    names = catalog.queries()
+    twins = {n.removesuffix("_all_words") for n in names if n.endswith("_all_words")}
+    assert len(twins) == 18 and twins <= set(names)
+    assert {n for n in twins if n in catalog.oracle_sql()} == {n for n in twins if f"{n}_all_words" in catalog.oracle_sql()}
