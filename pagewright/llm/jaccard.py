@@ -13,7 +13,8 @@ linked with the leader are in its component. A class z that is not, but is near
 metric, so both distances to the leader say whether that can be), is compared through what the comparisons with the leader have
 given: the n-grams in which y and z differ from it. Their common ones give the size of the symmetric difference of y and z
 exactly, so the link is decided without the sets. So are links between two classes that are near the leader
-and not linked with it. Lists that are left after ``ROUNDS`` leaders are joined pair by pair.
+and not linked with it. Links between two members change no component; where they are asked for they are counted from the same differences, in
+blocks of members, at the least leader that both are linked with. Lists that are left after ``ROUNDS`` leaders are joined pair by pair.
 
 N-grams and sets are told apart by 64-bit hashes. Defined results: null, empty and blank texts have no n-gram and no link; a text with fewer words than
 an n-gram has its whole word sequence as the one; the smallest key counts, null keys only where there is no other; rows alike
@@ -39,6 +40,7 @@ HEAVY_SLICE, HEAVY_LOCAL, HEAVY_TEXTS = 1 << 22, 2, 16  # bytes looked at togeth
 BATCH = 2000  # rows sent to Python at once
 LONG, ROUNDS = 64, 3  # a list of rare n-grams longer than this is led too; leaders one after another
 NEAR = 16  # classes near a leader that may share a rare difference and are compared at once
+BLOCK, COLUMNS = 512, 4096  # members compared with as many at once to count links; differences looked at together
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 27  # of the bitmap of classes whose sets are needed
 
 
@@ -299,16 +301,69 @@ def near_links(led: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return links, done
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+def shared_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """How many values each of first's arrays shares with each of second's; an array has a value once."""
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
+    own_a, own_b = (np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (first, second))
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(first), len(second)), np.float32)
+    for at in range(0, len(both), COLUMNS):
+        part, sides = both[at : at + COLUMNS], []
+        for value, own, n in ((a, own_a, len(first)), (b, own_b, len(second))):
+            place = np.minimum(np.searchsorted(part, value), len(part) - 1)
+            there = part[place] == value
+            side = np.zeros((n, len(part)), np.float32)
+            side[own[there], place[there]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def member_counts(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """(node, n): links of each class with others that have a leader in common with it, each counted once.
+
+    members: (leader, node, size, apart, delta); leaders: (node, leaders). A pair counts at the least leader that both are linked with.
+    """
+    parts = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = members.join(leaders, "node").join(parts, "leader")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lesser = F.filter("leaders", lambda x: x < F.col("leader"))
+    rows = rows.select("leader", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "size", "apart", "delta", lesser.alias("lesser"))
+
+    def count(table: pa.Table) -> pa.Table:
+        columns = {c: table[c].combine_chunks() for c in table.column_names}
+        node, size, apart, own = (np.asarray(columns[c]) for c in ("node", "size", "apart", "own"))
+        lists = {c: [np.asarray(x.values) for x in columns[c]] for c in ("delta", "lesser")}
+        low, high = columns["low"][0].as_py(), columns["high"][0].as_py()
+        i, j = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        met = {c: shared_counts([x[k] for k in i], [x[k] for k in j]) for c, x in lists.items()}
+        link = (apart[i][:, None] + apart[j] - 2 * met["delta"]) * (100 + percent) <= (100 - percent) * (size[i][:, None] + size[j])
+        link &= (met["lesser"] == 0) & (node[i][:, None] != node[j])
+        found, n = (node[i], link.sum(1)) if low == high else (np.concatenate((node[i], node[j])), np.concatenate((link.sum(1), link.sum(0))))
+        return pa.table({"node": found, "n": n.astype(np.int64)})
+
+    return rows.groupBy("leader", "low", "high").applyInArrow(count, "node long, n long")
+
+
+def degrees(links: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(node, n_links): the distinct classes that each class is linked with. links: (u, v) distinct, with all links but those between two members of a leader."""
+    leaders = storage.written(members.groupBy("node").agg(F.collect_set("leader").alias("leaders")), "leaders")
+    side = lambda c: leaders.select(F.col("node").alias(c), F.col("leaders").alias(f"leaders_{c}"))
+    single = links.join(side("u"), "u", "left").join(side("v"), "v", "left").filter(~F.coalesce(F.arrays_overlap("leaders_u", "leaders_v"), F.lit(False)))
+    counts = single.select(F.explode(F.array("u", "v")).alias("node"), F.lit(1).cast("long").alias("n")).unionByName(member_counts(members, leaders, percent))
+    return counts.groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, links: bool = True) -> DataFrame:
     """(key, size, component, class_size, n_links) of each row of docs; component is the smallest key reachable by links.
 
-    class_size: rows with the same set; n_links: links found between the class and others (links within a component that follow from others may be left out).
+    class_size: rows with the same set; n_links: other classes whose sets are linked with the row's, all counted. It is left out if not ``links``.
     """
     with storage.setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH):
-        return _joined(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), key, width, percent)
+        return _joined(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), key, width, percent, links)
 
 
-def _joined(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
+def _joined(docs: DataFrame, key: str, width: int, percent: int, with_links: bool) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = storage.written(profiles(docs, width, percent, heavy_grams(docs, width)), "profiles")
     classes = storage.written(rows.filter("size > 0").groupBy("class").agg(F.min("key").alias("least"), F.count("*").alias("class_size")), "classes")
@@ -322,7 +377,7 @@ def _joined(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
     pairs = pairs.filter(F.col("shared") + unseen >= F.col("least")).select("a", "b", F.lit(False).alias("star"))
     long_lists = listed.filter("b is null").select("gram", F.col("a").alias("class"), "weight")
     rest = storage.written(rows.select(F.explode("led").alias("gram"), "class", "weight").unionByName(long_lists).distinct().withColumn("home", F.lit(None).cast("long")), "entries")
-    edges, sets = [], None
+    edges, members, sets = [], [], None
     link = is_link(F.col("common"), F.col("size_a"), F.col("size_b"), percent)
     for round_ in range(ROUNDS + 1):
         if round_:  # short lists, and in the end all, are joined pair by pair; the others get their next leader
@@ -343,6 +398,7 @@ def _joined(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
         led = seen.join(star, ["a", "b"], "left_semi").filter("delta is not null")
         links, done = near_links(led, percent)
         edges += [derived_links(led, percent), links]
+        members.append(led.filter(link).select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("size_a") + F.col("size_b") - 2 * F.col("common")).alias("apart"), "delta"))
         near = led.select(F.col("a").alias("leader"), F.col("b").alias("class"), link.alias("linked")).join(done.withColumn("now", F.xxhash64("leader", F.lit(round_))), ["leader", "class"], "left")
         rest = met.filter("class <> leader").join(near, ["leader", "class"], "left").filter("not coalesce(linked, false)").select("gram", "class", "weight", F.coalesce("now", "home").alias("home"))
         # classes near one leader are done with each other; a list of such ones alone is done
@@ -355,13 +411,19 @@ def _joined(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
         links = links.unionByName(more)
     links = storage.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     found = components(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_class = classes.select("class", "least", "class_size").join(found.withColumnRenamed("node", "class"), "class", "left").join(degree.withColumnRenamed("node", "class"), "class", "left")
-    of_class = of_class.select("class", "least", "class_size", F.coalesce("component", "class").cast("string").alias("k"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    names = ["component", "class_size"] + ["n_links"] * with_links
+    of_class = classes.select("class", "least", "class_size").join(found.withColumnRenamed("node", "class"), "class", "left")
+    if with_links:
+        linked = members[0]
+        for more in members[1:]:
+            linked = linked.unionByName(more)
+        linked = storage.written(linked.dropDuplicates(["leader", "node"]), "members")
+        of_class = of_class.join(degrees(links, linked, percent).withColumnRenamed("node", "class"), "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    of_class = of_class.withColumn("k", F.coalesce("component", "class").cast("string")).drop("component")
     of_class = storage.written(of_class, "of-class")
-    named = lookup(of_class, of_class.groupBy("k").agg(F.min("least").alias("component")), "k").select(F.col("class").cast("string").alias("k"), "component", "class_size", "n_links")
+    named = lookup(of_class, of_class.groupBy("k").agg(F.min("least").alias("component")), "k").select(F.col("class").cast("string").alias("k"), *names)
     out = lookup(rows.select("key", "size", F.when(F.col("size") > 0, F.col("class").cast("string")).alias("k")), named, "k")
     return out.select(
         F.col("key").alias(key), F.col("size").cast("long").alias("size"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("key")).alias("component"),
-        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), *[F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] * with_links,
     )

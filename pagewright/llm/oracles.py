@@ -12,6 +12,11 @@ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where
 r(doc_id, reached) as (select doc_id, doc_id from documents union select r.doc_id, l.b from r join l on l.a = r.reached)
 select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id from (select doc_id, min(reached) as component_id from r group by doc_id) c left join n using (doc_id)"""
 
+OP1_LINKS = f"""{OP1.partition("select doc_id, cast(coalesce(n.n, 0)")[0]}, g as (select doc_id, list_sort(list(shingle)) as shingles from k group by doc_id),
+d as (select a as doc_id, count(distinct y.shingles) as n_links from l join g x on x.doc_id = a join g y on y.doc_id = b where x.shingles <> y.shingles group by a)
+select c.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id, cast(coalesce(n_links, 0) as bigint) as n_links
+from (select doc_id, min(reached) as component_id from r group by doc_id) c left join n on n.doc_id = c.doc_id left join d on d.doc_id = c.doc_id"""
+
 #: sha1 as base32: each 5 of its 40 hexadecimal digits make 4 of 32 characters.
 _PART = "(('0x' || substr(h, {0} * 5 + 1, 5))::bigint)"
 _CHARACTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((" + _PART + " >> {1}) & 31)::int + 1, 1)"

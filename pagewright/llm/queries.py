@@ -20,10 +20,16 @@ def shuffles(spark: SparkSession) -> int:
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 4-word shingles and the smallest document it is linked with, directly or not, at a Jaccard similarity of 0.85."""
-    found = jaccard.joined(table(spark, sf_dir, "documents"), width=4, percent=85)
+    found = jaccard.joined(table(spark, sf_dir, "documents"), width=4, percent=85, links=False)
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_jaccard with the number of different shingle sets that each document's is linked with."""
+    found = jaccard.joined(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with the items."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -93,8 +99,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_jaccard, op2_decontamination, op3_warc, op4_urls, op5_repetition, op6_token_files, op7_lattice, op8_token_counts, op9_sharding, op10_language)}
+    return {f.__name__: f for f in (op1_jaccard, op1_jaccard_links, op2_decontamination, op3_warc, op4_urls, op5_repetition, op6_token_files, op7_lattice, op8_token_counts, op9_sharding, op10_language)}
 
 
 def oracle_sql():
-    return {"op1_jaccard": oracles.OP1, "op3_warc": oracles.OP3}
+    return {"op1_jaccard": oracles.OP1, "op1_jaccard_links": oracles.OP1_LINKS, "op3_warc": oracles.OP3}
