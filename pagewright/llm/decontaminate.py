@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased words without punctuation at their ends. Documents are read once: a bitmap of fixed size, made from the
+Texts are lower-cased words without punctuation at their ends, both by Unicode (see ``normal``). Documents are read once: a bitmap of fixed size, made from the
 benchmark's five-word seeds, leaves the stretches of a document whose every seed may be shared, and these are written. Their seeds
 are joined with the benchmark's; for each document and item that meet, greedy string tiling marks the longest matches of five words
 or more that do not overlap, found by running Karp-Rabin, until none is left. An item is in a document if the tiles cover ``COVERED``
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import storage
 from .skew import lookup
@@ -32,6 +32,16 @@ PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 
+#: Punctuation and symbols of any script, and spaces that do not break, at a word's ends; ``words`` takes ASCII's off.
+_MARKS, _SPACES = r"[\p{P}\p{S}\u00a0\u202f\u2007\u2060\ufeff]", r" \t\n\x0B\f\r"
+ENDS = rf"(?<![^{_SPACES}]){_MARKS}++|(?<!{_MARKS}){_MARKS}++(?![^{_SPACES}])"
+
+
+def normal(text: Column) -> Column:
+    """text without case (upper-cased first, as one letter may become two; Spark makes lower(upper()) one call unless another is between) or marks at the ends of words. ASCII texts are left to ``words``."""
+    return F.when(F.octet_length(text) > F.length(text), F.lower(F.regexp_replace(F.upper(text), ENDS, ""))).otherwise(text)
+
+
 def words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, documents) of the lower-cased words, without punctuation at their ends; words of nothing else are left out."""
     starts, ends, docs = texts.spans()
@@ -62,7 +72,7 @@ def items_of(benchmark: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at + i for i in kept], pa.int64())), lists([parts[i] for i in kept]), lists([seeds_of(parts[i]) for i in kept])], ["item", "words", "seeds"])
 
     kind = dict(benchmark.dtypes)[key]
-    return benchmark.select(F.col(key).alias("item"), F.col(text).alias("text")).mapInArrow(hashed, f"item {kind}, words array<long>, seeds array<long>")
+    return benchmark.select(F.col(key).alias("item"), normal(F.col(text)).alias("text")).mapInArrow(hashed, f"item {kind}, words array<long>, seeds array<long>")
 
 
 def bitmap(items: DataFrame) -> np.ndarray:
@@ -101,7 +111,7 @@ def stretches(docs: DataFrame, key: str, text: str, bits: np.ndarray) -> DataFra
                 which = pa.array(at + docs[starts])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(starts), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))], ["key", "row", "no", "words"])
 
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text, F.length(text)).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text, F.length(text)).alias("row"), normal(F.col(text)).alias("text"))
     return rows.mapInArrow(cut, f"key {dict(rows.dtypes)['key']}, row long, no long, words array<long>")
 
 

@@ -71,3 +71,18 @@ def test_leaks(spark):
         a = plain_words(items[5] if doc is None else docs[doc])
         assert r.covered_words == greedy(a if len(a) < 200 else a[45:95], w[item]) and r.item_words == 40
     assert d.leaks(documents.limit(0), benchmark).collect() == [] and d.leaks(documents, benchmark.limit(0)).collect() == []
+
+
+def test_leaks_by_unicode(spark):
+    items = {
+        1: "El niño comió piñas, después ágil cantó canción única según Ángel",
+        2: "Où était l'été déçu, près des forêts gelées où naît Noël",
+        3: "Größe heißt für müde Füße süße Grüße über schöne Straßen",
+    }
+    marked = lambda t, a, b: " ".join(f"{a}{w}{b}" for w in t.split())
+    docs = {
+        1: items[1].upper(), 2: items[2].upper(), 3: items[3].upper(), 4: marked(items[1], "¡", "!"), 5: marked(items[2], "«\u00a0", "\u00a0»"),
+        6: marked(items[3], "“", "”."), 7: "Un texto que no tiene nada de lo que hay en los demás",
+    }
+    found = d.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.coverage) for r in found} == {(k, (k - 1) % 3 + 1, 1.0) for k in range(1, 7)}
