@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as t
@@ -12,8 +10,8 @@ from . import fixtures, structure
 from .oracles import ORACLES
 
 
-def _paragraphs(spark: SparkSession, sf_dir: str, spans=fixtures.spans) -> tuple[DataFrame, DataFrame]:
-    return structure.to_paragraphs(spans(spark, sf_dir), fixtures.tables(spark, sf_dir))
+def _paragraphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return structure.to_paragraphs(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir))
 
 
 def _on_lines(name: str, column):
@@ -21,84 +19,90 @@ def _on_lines(name: str, column):
 
 
 def _on_spans(**columns):
-    return lambda spark, sf_dir, spans=fixtures.spans: spans(spark, sf_dir).select("doc_id", "page", "seq", *(f().alias(n) for n, f in columns.items()))
+    return lambda spark, sf_dir: fixtures.spans(spark, sf_dir).select("doc_id", "page", "seq", *(f().alias(n) for n, f in columns.items()))
 
 
 def _with_text(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "page_no", "para_no", layout.paragraph_text(F.col("spans")).alias("text"))
 
 
-def font_flags(spark, sf_dir, spans=fixtures.spans):
-    return layout.with_font_flags(spans(spark, sf_dir)).select("doc_id", "page", "seq", "is_bold", "is_mono")
+def font_flags(spark, sf_dir):
+    return layout.with_font_flags(fixtures.spans(spark, sf_dir)).select("doc_id", "page", "seq", "is_bold", "is_mono")
 
 
-def flatten_blocks(spark, sf_dir, spans=fixtures.spans):
-    """The spans nested into blocks of a line each, and flattened again."""
-    span = F.struct("text", "font", F.col("font_size").alias("size"), "flags", F.array("x0", "y0", "x1", "y1").alias("bbox"))
-    nested = spans(spark, sf_dir).groupBy("doc_id", "page", "page_height").agg(F.sort_array(F.collect_list(F.struct("seq", span.alias("span")))).alias("spans"))
-    blocks = F.expr("transform(spans, s -> named_struct('lines', array(named_struct('spans', array(s.span)))))")
-    flat = layout.flatten_blocks(nested.select("doc_id", "page", "page_height", blocks.alias("blocks")))
+def flatten_blocks(spark, sf_dir):
+    """The spans nested into blocks of lines, with an image and blank spans among them, and flattened again."""
+    field = lambda *names: F.struct(F.col("text"), F.col("font"), F.col("font_size").alias("size"), F.col("flags"), F.array(*names).alias("bbox"))
+    spans = fixtures.spans(spark, sf_dir).select("doc_id", "page", "page_height", "seq", F.floor(F.col("seq") / 3).alias("line"), F.floor(F.col("seq") / 12).alias("block"), field("x0", "y0", "x1", "y1").alias("span"))
+    gathered = lambda df, of, key: df.agg(F.sort_array(F.collect_list(F.struct(key, of))).alias("x")).withColumn(of, F.col(f"x.{of}")).drop("x")
+    lines = gathered(spans.groupBy("doc_id", "page", "page_height", "block", "line"), "span", "seq")
+    blank = F.expr("struct('  ' as text, 'Times' as font, cast(9 as double) as size, 0 as flags, array(0d, 0d, 9d, 9d) as bbox)")
+    lines = lines.withColumn("line_", F.struct(F.concat("span", F.array(blank)).alias("spans")))
+    blocks = gathered(lines.groupBy("doc_id", "page", "page_height", "block"), "line_", "line").withColumn("block_", F.struct(F.col("line_").alias("lines")))
+    pages = gathered(blocks.groupBy("doc_id", "page", "page_height"), "block_", "block")
+    image = F.expr("transform(slice(block_, 1, 1), b -> named_struct('lines', cast(null as array<struct<spans:array<struct<text:string,font:string,size:double,flags:int,bbox:array<double>>>>>)))")
+    flat = layout.flatten_blocks(pages.select("doc_id", "page", "page_height", F.concat(image, "block_").alias("blocks")))
     return flat.select("doc_id", "page", "text", "font", "font_size", "x0", "y0", "x1", "y1", "flags")
 
 
-def table_antijoin(spark, sf_dir, spans=fixtures.spans):
-    return layout.outside_tables(spans(spark, sf_dir), fixtures.tables(spark, sf_dir)).select("doc_id", "page", "seq", "text")
+def table_antijoin(spark, sf_dir):
+    return layout.outside_tables(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir)).select("doc_id", "page", "seq", "text")
 
 
-def _inside(spark, sf_dir, spans=fixtures.spans):
-    return layout.outside_tables(layout.with_font_flags(spans(spark, sf_dir)), fixtures.tables(spark, sf_dir))
+def _inside(spark, sf_dir):
+    return layout.outside_tables(layout.with_font_flags(fixtures.spans(spark, sf_dir)), fixtures.tables(spark, sf_dir))
 
 
-def baseline_font(spark, sf_dir, spans=fixtures.spans):
-    return headers.baseline_sizes(_inside(spark, sf_dir, spans))
+def baseline_font(spark, sf_dir):
+    return headers.baseline_sizes(_inside(spark, sf_dir))
 
 
-def reading_order(spark, sf_dir, spans=fixtures.spans):
-    return layout.reading_order(_inside(spark, sf_dir, spans)).select("doc_id", "page", "seq", "line_no")
+def reading_order(spark, sf_dir):
+    return layout.reading_order(_inside(spark, sf_dir)).select("doc_id", "page", "seq", "line_no")
 
 
-def paragraphs(spark, sf_dir, spans=fixtures.spans):
-    found, _ = _paragraphs(spark, sf_dir, spans)
+def paragraphs(spark, sf_dir):
+    found, _ = _paragraphs(spark, sf_dir)
     return found.select("doc_id", "page_no", "para_no", layout.paragraph_text(F.col("spans")).alias("text"), F.size("spans").cast("long").alias("n_spans"))
 
 
-def classify_headers(spark, sf_dir, spans=fixtures.spans):
-    return headers.with_levels(*_paragraphs(spark, sf_dir, spans)).select("doc_id", "page_no", "para_no", "text", "is_mono", "level")
+def classify_headers(spark, sf_dir):
+    return headers.with_levels(*_paragraphs(spark, sf_dir)).select("doc_id", "page_no", "para_no", "text", "is_mono", "level")
 
 
-def known_headers(spark, sf_dir, spans=fixtures.spans):
-    return headers.known_headers(headers.with_levels(*_paragraphs(spark, sf_dir, spans)))
+def known_headers(spark, sf_dir):
+    return headers.known_headers(headers.with_levels(*_paragraphs(spark, sf_dir)))
 
 
-def drop_captions(spark, sf_dir, spans=fixtures.spans):
-    return _with_text(clean.drop_captions(_paragraphs(spark, sf_dir, spans)[0]))
+def drop_captions(spark, sf_dir):
+    return _with_text(clean.drop_captions(_paragraphs(spark, sf_dir)[0]))
 
 
-def running_headers(spark, sf_dir, spans=fixtures.spans):
-    found, baselines = _paragraphs(spark, sf_dir, spans)
+def running_headers(spark, sf_dir):
+    found, baselines = _paragraphs(spark, sf_dir)
     return _with_text(clean.drop_running_headers(found, headers.known_headers(headers.with_levels(found, baselines))))
 
 
-def page_merge(spark, sf_dir, spans=fixtures.spans):
-    return merge.page_joins(_paragraphs(spark, sf_dir, spans)[0])
+def page_merge(spark, sf_dir):
+    return merge.page_joins(_paragraphs(spark, sf_dir)[0])
 
 
-def join_pages(spark, sf_dir, spans=fixtures.spans):
-    return _with_text(merge.join_pages(_paragraphs(spark, sf_dir, spans)[0]))
+def join_pages(spark, sf_dir):
+    return _with_text(merge.join_pages(_paragraphs(spark, sf_dir)[0]))
 
 
-def emit_markdown(spark, sf_dir, spans=fixtures.spans):
-    levelled = headers.with_levels(*_paragraphs(spark, sf_dir, spans))
+def emit_markdown(spark, sf_dir):
+    levelled = headers.with_levels(*_paragraphs(spark, sf_dir))
     return markdown.emit(levelled.filter("text <> ''"))
 
 
-def full_markdown(spark, sf_dir, spans=fixtures.spans):
-    return structure.to_markdown(spans(spark, sf_dir), fixtures.tables(spark, sf_dir))
+def full_markdown(spark, sf_dir):
+    return structure.to_markdown(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir))
 
 
-def document_summary(spark, sf_dir, spans=fixtures.spans):
+def document_summary(spark, sf_dir):
     """(doc_id, n_headers, n_paragraphs, n_chars, markdown_sha) of the whole chain."""
-    levelled = structure.kept(structure.to_levelled(spans(spark, sf_dir), fixtures.tables(spark, sf_dir)))
+    levelled = structure.kept(structure.to_levelled(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir)))
     counts = levelled.groupBy("doc_id").agg(F.count_if(F.col("level") > 0).alias("n_headers"), F.count("*").alias("n_paragraphs"))
     texts = markdown.to_text(structure.to_lines(levelled))
     return counts.join(texts, "doc_id").select("doc_id", "n_headers", "n_paragraphs", F.length("markdown").cast("long").alias("n_chars"), F.sha2("markdown", 256).alias("markdown_sha"))
@@ -178,9 +182,7 @@ def queries():
     }
     return {
         **on_spans,
-        **{f"{name}_all_words": partial(f, spans=fixtures.all_words_spans) for name, f in on_spans.items()},
         "spans_fixture": fixtures.spans,
-        "spans_fixture_all_words": fixtures.all_words_spans,
         "md_fixture": fixtures.lines,
         "normalize_text": _on_lines("normalized", lambda: t.normalize(F.col("line"))),
         "strip_digits_seps": _on_lines("stripped", lambda: t.strip_digits(F.col("line"))),
