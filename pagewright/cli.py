@@ -56,7 +56,7 @@ def only_text(df: DataFrame) -> str:
 
 
 def extract(spark: SparkSession, args: argparse.Namespace) -> None:
-    pages = pdf.read_pages(spark, args.pdf_path)
+    pages = structure.kept(pdf.read_pages(spark, args.pdf_path))  # files are parsed once, for spans and for boxes
     text = only_text(structure.to_markdown(layout.flatten_blocks(pages), pdf.table_boxes(pages)))
     log.info("%d characters", len(text))
     target = files.output_path(args.pdf_path, args.output)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 SEPARATORS = r"[\s\x0b\x1c-\x1f\x85\p{Z}\p{Nd}\-–—:|]"
 EDGE_MARKS = r"[\s\x0b\x1c-\x1f\x85\p{Z}\-–—:|]"
+WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 STRIP = rf"\A{SPACE}+|{SPACE}+\z"
 PUNCTUATION = r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]"

@@ -8,23 +8,24 @@ from ..functions import text as t
 from .layout import FIELDS, paragraph_text
 
 
-def with_first_text(spans: Column, text: Column) -> Column:
-    """spans with the text of the first replaced; the others keep theirs."""
+def with_first_text(spans: Column, text: Column, compat: bool = True) -> Column:
+    """spans with the text of the first replaced; the others keep theirs, so that their text is there twice, or go if not ``compat``."""
     rest = [F.col("spans")[0][c].alias(c) for c in FIELDS if c != "text"]
-    return F.concat(F.array(F.struct(text.alias("text"), *rest)), F.slice(spans, F.lit(2), F.size(spans)))
+    first = F.array(F.struct(text.alias("text"), *rest))
+    return F.concat(first, F.slice(spans, F.lit(2), F.size(spans))) if compat else first
 
 
-def drop_captions(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs without a leading ``Table N``; those that are nothing else go. What is left is put into the first span."""
+def drop_captions(paragraphs: DataFrame, compat: bool = True) -> DataFrame:
+    """Paragraphs without a leading ``Table N``; those that are nothing else go. What is left is put into the first span (``compat``: see with_first_text)."""
     text = paragraph_text(F.col("spans"))
     left = paragraphs.withColumns({"_text": text, "_left": t.strip_caption(text)})
-    spans = F.when(F.col("_left") == F.col("_text"), F.col("spans")).otherwise(with_first_text(F.col("spans"), F.col("_left")))
+    spans = F.when(F.col("_left") == F.col("_text"), F.col("spans")).otherwise(with_first_text(F.col("spans"), F.col("_left"), compat))
     return left.filter("not (_left = '' and _text <> '')").withColumn("spans", spans).drop("_text", "_left")
 
 
-def cut_header(text: Column, header: Column) -> Column:
-    """The text after ``number | header``, or '' where it is a running header whole, or null where it is none."""
-    pattern = t.header_pattern(header)
+def cut_header(text: Column, header: Column, compat: bool = True) -> Column:
+    """The text after ``number | header``, or '' where it is a running header whole, or null where it is none. If not ``compat`` no word is cut in two."""
+    pattern = t.header_pattern(header) if compat else F.concat(t.header_pattern(header), F.lit(f"(?!{t.WORD})"))
     leading = F.concat(F.lit(rf"(?iu)\A({t.SPACE}*\p{{Nd}}{{1,4}}{t.SPACE}*\|{t.SPACE}*(?:\p{{Nd}}+{t.SPACE}*)?{t.EDGE_MARKS}*"), pattern, F.lit(rf"{t.EDGE_MARKS}*)"))
     trailing = F.concat(F.lit(r"(?iu)\A"), pattern, F.lit(rf"{t.EDGE_MARKS}*{t.SPACE}*\|{t.SPACE}*\p{{Nd}}{{1,4}}{t.SPACE}*\z"))
     met = F.call_function("regexp_extract", text, leading, F.lit(1))
@@ -40,9 +41,11 @@ def is_pure_footer(text: Column, known: Column) -> Column:
     return F.coalesce(F.array_contains(known, t.normalize(t.strip_digits(title))), F.lit(False))
 
 
-def drop_running_headers(paragraphs: DataFrame, headers: DataFrame) -> DataFrame:
+def drop_running_headers(paragraphs: DataFrame, headers: DataFrame, compat: bool = True) -> DataFrame:
     """Paragraphs without running headers of their document's known titles (doc_id, header).
 
+    compat: two quirks stay; a cut paragraph keeps the text of its other spans beside what is left, and a title is cut out of a longer word.
+
     Titles are tried longest first, then by name. The first paragraph of a page that follows an open sentence is kept unless it is nothing
     but a footer; whether a sentence is open there depends on the page before in the same way, so each page is worked out
     for both cases and the cases are folded along the document.
@@ -52,10 +55,10 @@ def drop_running_headers(paragraphs: DataFrame, headers: DataFrame) -> DataFrame
     text, known = F.col("_text"), F.coalesce(F.col("_known"), F.array().cast("array<string>"))
     shielded = F.coalesce(F.regexp_extract(text, "([A-Za-z])", 1).rlike("[a-z]"), F.lit(False))
     asked = F.contains(text, F.lit("|")) & ~shielded & (F.size(known) > 0)
-    cuts = F.filter(F.transform(known, lambda h: cut_header(text, h)), lambda x: x.isNotNull())
+    cuts = F.filter(F.transform(known, lambda h: cut_header(text, h, compat)), lambda x: x.isNotNull())
     first = F.row_number().over(_page().orderBy("para_no")) == 1
     df = df.withColumn("_cut", F.when(asked, F.get(cuts, F.lit(0)))).withColumn("_waits", first & asked & ~F.when(asked, is_pure_footer(text, known)).otherwise(False))
-    cut_spans = F.when(F.col("_cut").isNull(), F.col("spans")).otherwise(with_first_text(F.col("spans"), F.col("_cut")))
+    cut_spans = F.when(F.col("_cut").isNull(), F.col("spans")).otherwise(with_first_text(F.col("spans"), F.col("_cut"), compat))
     df = df.withColumn("_cut_spans", cut_spans)
     opened = lambda x: t.ends_with_hyphen(x) | ~t.ends_sentence(x)
     after_cut = F.when(F.coalesce(F.col("_cut") != "", F.lit(True)), opened(paragraph_text(F.col("_cut_spans"))))

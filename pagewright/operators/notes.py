@@ -14,14 +14,14 @@ def note_json(notes: DataFrame) -> DataFrame:
 
 
 def render_prompt(notes: DataFrame, template: str, slot: str = "{parsed_json}") -> DataFrame:
-    """(note_id, prompt): the template with the note's JSON, escaped as a JSON string, in its slot."""
+    """(note_id, prompt): the template with the note's JSON, escaped as a JSON string, in its slot. Null fields are left out of the JSON."""
     quoted = F.to_json(F.struct(F.col("json").alias("s")))
     inner = F.expr("substring(q, 7, length(q) - 8)")
     return note_json(notes).withColumn("q", quoted).select("note_id", F.replace(F.lit(template), F.lit(slot), inner).alias("prompt"))
 
 
 def parse_cards(replies: DataFrame) -> DataFrame:
-    """(note_id, card_no, id, type, front, back, source_path, tags) of replies (note_id, json)."""
+    """(note_id, card_no, id, type, front, back, source_path, tags) of replies (note_id, json). A null reply, one that is no such JSON or has no cards gives no rows; fields that lack are null."""
     return replies.select("note_id", F.from_json("json", CARDS).alias("r")).select("note_id", F.posexplode("r.cards").alias("card_no", "card")).select("note_id", "card_no", "card.*")
 
 

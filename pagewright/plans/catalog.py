@@ -156,6 +156,24 @@ def note_json(spark, sf_dir):
     return notes.note_json(docs.select(F.col("doc_id").alias("note_id"), F.col("source").alias("title"), F.array("lang").alias("tags"), F.array(chunk_).alias("chunks")))
 
 
+PROMPT = "Cards for this note:\n{parsed_json}\nAnswer with JSON."
+
+
+def render_prompt(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chunk_ = F.struct(F.col("source").alias("path"), F.col("text").alias("content"))
+    return notes.render_prompt(docs.select(F.col("doc_id").alias("note_id"), F.col("source").alias("title"), F.array("lang").alias("tags"), F.array(chunk_).alias("chunks")), PROMPT)
+
+
+def parse_cards(spark, sf_dir):
+    """The turns of each conversation as the cards of one reply, parsed."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    card = F.struct(F.concat_ws("::", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit("qa").alias("type"), F.col("text").alias("front"), F.col("role").alias("back"), F.array("role").alias("tags"))
+    cards = talks.select(F.col("conv_id").alias("note_id"), "turn", card.alias("card")).groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("turn", "card"))).alias("cards"))
+    replies = cards.select("note_id", F.to_json(F.struct(F.col("cards.card").alias("cards"))).alias("json"))
+    return notes.parse_cards(replies).select("note_id", "card_no", "id", "type", "front", "back", "source_path", F.col("tags")[0].alias("tag"))
+
+
 def card_validate(spark, sf_dir):
     """Turns of conversations taken as cards of a note."""
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -187,7 +205,7 @@ def queries():
         "normalize_text": _on_lines("normalized", lambda: t.normalize(F.col("line"))),
         "strip_digits_seps": _on_lines("stripped", lambda: t.strip_digits(F.col("line"))),
         "pipe_candidate": _on_lines("candidate", lambda: t.is_pipe_candidate(F.col("line"))),
-        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, card_validate)},
+        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate)},
     }
 
 

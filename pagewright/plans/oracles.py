@@ -226,4 +226,8 @@ select note_id, card_no, starts_with(id, concat(note_id, '::')) as id_ok, count(
     "document_summary": f"""with recursive {CHAIN}
 select doc_id, n_headers, n_paragraphs, cast(length(markdown) as bigint) as n_chars, sha256(markdown) as markdown_sha from clean_texts join (select doc_id, count(*) filter (where level > 0) as n_headers, count(*) as n_paragraphs from levelled_ group by doc_id) using (doc_id)""",
     "note_json": """select doc_id as note_id, to_json(struct_pack(note_id := doc_id::varchar, title := source, frontmatter := struct_pack(tags := [lang]), chunks := [struct_pack(path := source, content := text)]))::varchar as json from documents""",
+    "render_prompt": """select doc_id as note_id, concat('Cards for this note:', chr(10), substr(q, 2, length(q) - 2), chr(10), 'Answer with JSON.') as prompt
+from (select doc_id, to_json((to_json(struct_pack(note_id := doc_id::varchar, title := source, frontmatter := struct_pack(tags := [lang]), chunks := [struct_pack(path := source, content := text)]))::varchar))::varchar as q from documents)""",
+    "parse_cards": """select conv_id as note_id, cast(row_number() over (partition by conv_id order by turn, text, role) - 1 as int) as card_no, concat(conv_id, '::', turn) as id, 'qa' as type, text as front, role as back, cast(null as varchar) as source_path, role as tag
+from conversations""",
 }

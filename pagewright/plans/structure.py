@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ def kept(df: DataFrame) -> DataFrame:
     """df written once in the shared folder and read again, where several later steps read it."""
     spark, setting = df.sparkSession, "spark.checkpoint.dir"
     root = spark.conf.get(setting, None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"{setting} has to name a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set(setting, root)
@@ -29,11 +32,11 @@ def to_paragraphs(spans: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataF
     return kept(layout.paragraphs(layout.paragraph_numbers(layout.reading_order(inside)))), headers.baseline_sizes(inside)
 
 
-def to_levelled(spans: DataFrame, tables: DataFrame) -> DataFrame:
-    """Paragraphs without running headers and captions, joined over pages, with header levels; empty ones are left out."""
+def to_levelled(spans: DataFrame, tables: DataFrame, compat: bool = True) -> DataFrame:
+    """Paragraphs without running headers and captions, joined over pages, with header levels; empty ones are left out. compat: see ``operators.clean``."""
     paragraphs, baselines = to_paragraphs(spans, tables)
     known = headers.known_headers(headers.with_levels(paragraphs, baselines))
-    cleaned = kept(clean.drop_captions(clean.drop_running_headers(paragraphs, known)))
+    cleaned = kept(clean.drop_captions(clean.drop_running_headers(paragraphs, known, compat), compat))
     joined = kept(merge.join_pages(cleaned))
     return headers.with_levels(joined.filter(t.strip(layout.paragraph_text(joined["spans"])) != ""), baselines)
 
@@ -44,9 +47,9 @@ def to_lines(levelled: DataFrame) -> DataFrame:
     return markdown.drop_numbered(markdown.drop_page_number(kept(markdown.drop_repeated_headers(lines))))
 
 
-def to_markdown(spans: DataFrame, tables: DataFrame) -> DataFrame:
+def to_markdown(spans: DataFrame, tables: DataFrame, compat: bool = True) -> DataFrame:
     """(doc_id, markdown)."""
-    return markdown.to_text(to_lines(to_levelled(spans, tables)))
+    return markdown.to_text(to_lines(to_levelled(spans, tables, compat)))
 
 
 def to_chunks(lines: DataFrame, options: chunk.ChunkOptions = chunk.ChunkOptions(), **names) -> DataFrame:

