@@ -138,7 +138,7 @@ def code_blocks(spark, sf_dir):
 
 
 def chunks(spark, sf_dir):
-    return structure.to_chunks(fixtures.lines(spark, sf_dir))
+    return structure.to_chunks(fixtures.lines(spark, sf_dir)).withColumn("metadata", F.to_json("metadata"))
 
 
 def chunk_stats(spark, sf_dir):
