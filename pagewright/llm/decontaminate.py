@@ -2,11 +2,13 @@
 
 Texts are lower-cased words without punctuation at their ends, both by Unicode (see ``normal``). Documents are read once: a bitmap of fixed size, made from the
 benchmark's five-word seeds, leaves the stretches of a document whose every seed may be shared, and these are written. Their seeds
-are joined with the benchmark's; for each document and item that meet, greedy string tiling marks the longest matches of five words
+are joined with the benchmark's. Tiles of five words or more that cover enough of an item hold a fifth of those words as its seeds at least, so documents
+and items that share fewer are left out. For each of the others greedy string tiling marks the longest matches of five words
 or more that do not overlap, found by running Karp-Rabin, until none is left. An item is in a document if the tiles cover ``COVERED``
 of its words; tiles may lie in any order, so reordered passages count.
 
-Defined results: null and empty texts, and items of fewer than five words, share nothing; items that repeat are found each; rows
+Defined results: null and empty texts, and items of fewer than five words, share nothing; items of one id (or none: null) with different words are told
+apart and found each, those with the same words once; rows
 of one key with different texts are judged apart, and give a row each; a document's length does not matter; an empty table on
 either side gives no rows; other columns of documents do not matter.
 """
@@ -21,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import storage
-from .skew import lookup
 from .text import Texts, slices, windows
 
 SEED, COVERED = 5, 0.5
-BITS = 1 << 22  # of the bitmap, whatever the benchmark's size
+BITS = 1 << 22, 1 << 28  # of the bitmap, at least and at most; 32 for each of the benchmark's seeds in between
 BITMAPS = 16  # partitions whose bitmaps the driver unites
 BASE, PRIME = 1_000_003, (1 << 61) - 1
 PUNCTUATION = np.zeros(256, bool)
@@ -59,7 +60,7 @@ def seeds_of(values: np.ndarray) -> np.ndarray:
 
 
 def items_of(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """(item, words, seeds) of the items that have a seed; words and seeds are hashes."""
+    """(ident, item, words, seeds) of the items that have a seed, each once; words and seeds are hashes, ident is one of id and words."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,19 +73,22 @@ def items_of(benchmark: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at + i for i in kept], pa.int64())), lists([parts[i] for i in kept]), lists([seeds_of(parts[i]) for i in kept])], ["item", "words", "seeds"])
 
     kind = dict(benchmark.dtypes)[key]
-    return benchmark.select(F.col(key).alias("item"), normal(F.col(text)).alias("text")).mapInArrow(hashed, f"item {kind}, words array<long>, seeds array<long>")
+    items = benchmark.select(F.col(key).alias("item"), normal(F.col(text)).alias("text")).mapInArrow(hashed, f"item {kind}, words array<long>, seeds array<long>")
+    return items.withColumn("ident", F.xxhash64(F.col("item").isNull(), "item", "words")).dropDuplicates(["ident"])
 
 
 def bitmap(items: DataFrame) -> np.ndarray:
-    """Packed bits: which seeds mod BITS there are."""
+    """Packed bits: which seeds there are, mod the number of bits."""
+    seeds = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    size = min(BITS[1], max(BITS[0], 1 << (32 * seeds).bit_length()))
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[np.asarray(batch.column(0).flatten()).view(np.uint64) % np.uint64(BITS)] = True
+            bits[np.asarray(batch.column(0).flatten()).view(np.uint64) % np.uint64(size)] = True
         yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for row in items.select("seeds").coalesce(BITMAPS).mapInArrow(united, "bits binary").toLocalIterator():
         out |= np.frombuffer(row["bits"], np.uint8)
     return out
@@ -92,7 +96,7 @@ def bitmap(items: DataFrame) -> np.ndarray:
 
 def stretches(docs: DataFrame, key: str, text: str, bits: np.ndarray) -> DataFrame:
     """(key, row, no, words): the stretches of each document all of whose seeds are in the bitmap; row is a hash of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = storage.broadcast(docs.sparkSession, bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.unpackbits(shared.value).view(bool)
@@ -100,7 +104,7 @@ def stretches(docs: DataFrame, key: str, text: str, bits: np.ndarray) -> DataFra
             for at, _, texts in slices(batch.column(2)):
                 value, docs = words(texts)
                 seeds, _, first = windows(value, docs, SEED, texts.n)
-                hits = first[there[seeds % np.uint64(BITS)]]
+                hits = first[there[seeds % np.uint64(len(there))]]
                 if not len(hits):
                     continue
                 begins = np.concatenate(([True], (hits[1:] != hits[:-1] + 1) | (docs[hits[1:]] != docs[hits[:-1]])))
@@ -184,18 +188,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """(key, item, item_words, covered_words, n_tiles, coverage) of each document that holds an item."""
     items = storage.written(items_of(benchmark, item, item_text), "items")
     parts = storage.written(stretches(docs, key, text, bitmap(items)), "stretches")
-    of_seed = items.select("item", F.explode(F.array_distinct("seeds")).alias("seed")).groupBy(F.col("seed").cast("string").alias("seed")).agg(F.collect_list("item").alias("items"))
+    need = F.ceil(F.ceil(F.size("words") * least) / SEED)  # seeds in tiles that cover enough
+    of_seed = items.select("ident", need.alias("need"), F.explode("seeds").alias("seed")).groupBy("ident", "seed").agg(F.count("*").alias("places"), F.first("need").alias("need"))
 
     @F.arrow_udf("array<bigint>")
     def seeds(column: pa.Array) -> pa.Array:
         return pa.array([np.unique(seeds_of(np.array(x, np.int64).view(np.uint64)).view(np.int64)) for x in column.to_pylist()], pa.list_(pa.int64()))
 
-    asked = parts.select("key", "row", "no", F.explode(seeds("words").cast("array<string>")).alias("seed"))
-    met = lookup(asked, of_seed, "seed").filter("items is not null")
-    met = met.select("key", "row", "no", F.explode("items").alias("item")).distinct()
-    joined = met.alias("m").join(parts.alias("p"), F.expr("m.key <=> p.key and m.row = p.row and m.no = p.no")).select("m.key", "m.row", "m.no", "m.item", "p.words")
-    pairs = joined.groupBy("key", "row", "item").agg(F.sort_array(F.collect_set(F.struct("no", "words"))).alias("parts"))
-    pairs = storage.written(pairs.select("key", "row", F.col("item"), F.col("item").cast("string").alias("item_key"), F.col("parts.words").alias("parts")), "met")
+    asked = parts.select("key", "row", F.explode(seeds("words")).alias("seed")).distinct()
+    met = asked.join(of_seed, "seed").groupBy("key", "row", "ident").agg(F.sum("places").alias("places"), F.first("need").alias("need")).filter("places >= need")
+    met = storage.written(met.select("key", "row", "ident"), "met")
+    joined = met.alias("m").join(parts.alias("p"), F.expr("m.key <=> p.key and m.row = p.row")).select("m.key", "m.row", "m.ident", "p.no", "p.words")
+    pairs = storage.written(joined.groupBy("key", "row", "ident").agg(F.sort_array(F.collect_set(F.struct("no", "words"))).alias("parts")).select("key", "ident", F.col("parts.words").alias("parts")), "pairs")
 
     @F.arrow_udf("struct<covered:long,n:long>")
     def tiled(parts: pa.Array, words: pa.Array) -> pa.Array:
@@ -210,8 +214,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             n.append(len(found))
         return pa.StructArray.from_arrays([pa.array(covered, pa.int64()), pa.array(n, pa.int64())], ["covered", "n"])
 
-    texts = items.groupBy(F.col("item").cast("string").alias("item_key")).agg(F.collect_set("words").alias("texts"))
-    found = lookup(pairs.filter("item_key is not null"), texts, "item_key").withColumn("words", F.explode("texts"))
-    found = found.withColumn("tiled", tiled("parts", "words"))
+    found = pairs.join(items.select("ident", "item", "words"), "ident").withColumn("tiled", tiled("parts", "words"))
     found = found.select(F.col("key").alias(key), F.col("item").alias(item), F.size("words").cast("long").alias("item_words"), F.col("tiled.covered").alias("covered_words"), F.col("tiled.n").alias("n_tiles"))
     return found.withColumn("coverage", F.col("covered_words") / F.col("item_words")).filter(F.col("coverage") >= least)

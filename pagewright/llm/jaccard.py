@@ -1,20 +1,19 @@
 """N-gram Jaccard join with set-relation skipping: links between texts whose word n-gram sets are alike.
 
 Texts with equal sets are one class from the start. A class's n-grams are put in one order for all (the more texts have them the later,
-then by hash), and two classes can be linked only if the first (1 - t) * size + 1 of both share one (prefix filter).
+then by hash), and two classes can be linked only if the first (1 - t) * size + 1 of both share one (prefix filter). An index list has the
+classes that share one such n-gram, by set size and by position in the prefix.
 
-*Index lists, skipped by blocks.* Lists of rare n-grams are sorted by set size and by position in the prefix. A
-class looks only at the block of sizes that can reach the threshold, and within it skips the positions from which too few n-grams
-are left. Pairs that share fewer n-grams in their prefixes than a link needs are left out before sets are compared.
+*Lists skipped by blocks.* A class looks only at the block of sizes that can reach the threshold, and within it skips the
+positions from which too few n-grams are left. What is left is held against parity bitmaps (each n-gram flips one bit; two sets differ in as many
+n-grams at least as their bitmaps do in bits), which leave out pairs without sets being sent. Lists of ``SHORT`` classes or fewer give their pairs so.
 
-*Answers derived from a similar set's.* Heavy n-grams (those many texts have) would make long lists. Each such list instead gets a
-leader, the class with the largest share of heavy n-grams; all others of the list are compared with it alone. Members
-linked with the leader are in its component. A class z that is not, but is near enough to have a link with a member y (the Jaccard distance is a
-metric, so both distances to the leader say whether that can be), is compared through what the comparisons with the leader have
-given: the n-grams in which y and z differ from it. Their common ones give the size of the symmetric difference of y and z
-exactly, so the link is decided without the sets. So are links between two classes that are near the leader
-and not linked with it. Links between two members change no component; where they are asked for they are counted from the same differences, in
-blocks of members, at the least leader that both are linked with. Lists that are left after ``ROUNDS`` leaders are joined pair by pair.
+*Answers derived from a similar set's.* In a longer list leaders are chosen until each class is near one (1 - 2 * (1 - t) or more alike), or
+is a leader. Only a leader is compared with others. A class linked with a leader can be linked only with what is near that leader
+(the Jaccard distance is a metric); those links are derived from the n-grams in which the two differ from the leader, without their sets: see
+``difference_links``. Classes near different leaders go on to the next round. Links between two members of
+a leader change no component; where they are asked for they are counted from the same differences, in blocks of members, at the least
+leader that both are linked with.
 
 N-grams and sets are told apart by 64-bit hashes. Defined results: null, empty and blank texts have no n-gram and no link; a text with fewer words than
 an n-gram has its whole word sequence as the one; the smallest key counts, null keys only where there is no other; rows alike
@@ -24,10 +23,12 @@ are all returned; an empty table gives no rows; other columns do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import storage
 from .components import components
@@ -37,11 +38,15 @@ from .text import Texts, mix, slices, windows
 
 HEAVY = 1 << 19  # n-grams that count as heavy, at most; an order alone depends on them
 HEAVY_SLICE, HEAVY_LOCAL, HEAVY_TEXTS = 1 << 22, 2, 16  # bytes looked at together, texts there and texts in all from which on an n-gram may be heavy
-BATCH = 2000  # rows sent to Python at once
-LONG, ROUNDS = 64, 3  # a list of rare n-grams longer than this is led too; leaders one after another
-NEAR = 16  # classes near a leader that may share a rare difference and are compared at once
+BATCH, ENTRY_BATCH = 2000, 1 << 16  # rows sent to Python at once: texts, index entries
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SHORT = 8  # classes of a list up to which its pairs are looked at
+TOGETHER = 128  # classes of a list up to which a task chooses all its leaders; a longer one gets 1, 4, 16 ... in a round, by aggregation
+NEAR, NEAR_ROUNDS = 256, 3  # classes that may share a difference from a leader to be compared by it; rounds for which that holds
+LEAST_BITS, MOST_BITS = 64, 1 << 16  # of a class's parity bitmap
 BLOCK, COLUMNS = 512, 4096  # members compared with as many at once to count links; differences looked at together
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 27  # of the bitmap of classes whose sets are needed
+NEEDED_BITS = 1 << 20, 1 << 27  # of the bitmap of classes whose sets are needed, at least and at most
+BROADCAST = 1 << 18  # class numbers that are broadcast, at most
 
 
 def grams(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +82,50 @@ def signatures(value: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, n
     return out.astype(np.int64), size, cuts
 
 
+def parities(value: np.ndarray, of: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of each document's parity bitmap: about two bits for each n-gram, a power of two of them; none where size is 0."""
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    bits[size == 0] = 0
+    offsets = np.concatenate(([0], np.cumsum(bits)))
+    value, of = value[bits[of] > 0], of[bits[of] > 0]
+    place = offsets[of] + (value & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=offsets[-1]) & 1), offsets // 8
+
+
+def apart_at_least(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """For one bitmap (uint64 words) and others: n-grams that are in one of the two sets alone, at least. Longer bitmaps are folded."""
+    out, folded = np.zeros(len(others), np.int64), {len(one): one}
+    sizes = np.array([len(x) for x in others])
+    for k in np.unique(sizes).tolist():
+        at, own = np.flatnonzero(sizes == k), one
+        while len(own) > k:
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        both = np.stack([others[i] for i in at])
+        while both.shape[1] > len(own):
+            both = both[:, : both.shape[1] // 2] ^ both[:, both.shape[1] // 2 :]
+        out[at] = np.bitwise_count(both ^ own).sum(1)
+    return out
+
+
+def apart_each(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """The same for each two of some bitmaps of about one length, all folded to the shortest."""
+    least = min(map(len, bitmaps))
+    folded = [np.bitwise_xor.reduce(x.reshape(-1, least)) for x in bitmaps]
+    words = np.stack(folded)
+    return np.stack([np.bitwise_count(words ^ own).sum(1, dtype=np.int64) for own in words])
+
+
+def within(apart, size_a, size_b, percent: int):
+    """Whether sets that differ in so many n-grams are ``percent`` alike, or more."""
+    return apart * (100 + percent) <= (100 - percent) * (size_a + size_b)
+
+
+def reachable(place_a, size_a, place_b, size_b, percent: int):
+    """Whether sets that share an n-gram at these positions can be ``percent`` alike: what comes before and after is bounded by the shorter."""
+    most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
+    return most * (100 + percent) >= (size_a + size_b) * percent
+
+
 def heavy_grams(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of at most HEAVY n-grams that many texts have, and a level from 1 on for each, by how many; found from slices where some texts share them."""
 
@@ -96,11 +145,12 @@ def heavy_grams(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, class, size, weight, rare, led) of each text: prefix n-grams in order, those that are heavy apart; weight: per mille of the set that is heavy.
+    """(key, class, size, weight, rare, prefix, bits) of each text. prefix: its first n-grams in order, ``rare`` of which are not heavy; weight: per mille of the
+    set that is heavy; bits: the parity bitmap.
 
-    A task gives the lists of a class once and leaves them empty for further texts of the class.
+    A task gives prefix and bits of a class once and leaves them null for further texts of the class. A set that only its like can be linked with has no prefix.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    shared = storage.broadcast(docs.sparkSession, heavy)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, levels), given = shared.value, set()
@@ -113,81 +163,79 @@ def profiles(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray,
                 if len(known):
                     place = np.minimum(place, len(known) - 1)
                     level = np.where(known[place] == value, levels[place], 0)
+                first = np.array([n > 0 and c not in given and given.add(c) is None for c, n in zip(found.tolist(), size.tolist(), strict=True)], bool)
+                length = size - -(-size * percent // 100) + 1
+                length[~first | (100 * size < percent * (size + 1))] = 0
+                data, ends = parities(value, of, size * first)
                 order = np.lexsort((value, level, of))
                 value, is_heavy = value[order], level[order] > 0
-                length = size - -(-size * percent // 100) + 1
-                length[[n == 0 or c in given or given.add(c) is not None for c, n in zip(found.tolist(), size.tolist(), strict=True)]] = 0
                 in_prefix = np.arange(len(value)) - np.repeat(cuts[:-1], size) < np.repeat(length, size)
-                lists = []
-                for kind in (~is_heavy, is_heavy):
-                    kept = in_prefix & kind
-                    offsets = np.searchsorted(np.flatnonzero(kept), cuts).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[kept].view(np.int64))))
+                rare = np.bincount(of[in_prefix & ~is_heavy], minlength=texts.n)
                 share = np.bincount(of, is_heavy, texts.n) * 1000 // np.maximum(size, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(found), pa.array(size.astype(np.int32)), pa.array(share.astype(np.int32)), *lists], ["key", "class", "size", "weight", "rare", "led"])
-
-    return docs.select("key", "text").mapInArrow(profile, f"key {dict(docs.dtypes)['key']}, class long, size int, weight int, rare array<long>, led array<long>")
+                none = pa.array(~first)
+                offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[in_prefix].view(np.int64)), mask=none)
+                bits = pa.BinaryArray.from_buffers(pa.binary(), texts.n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]).filter(pa.array(first))
+                bits = bits.take(pa.array(np.cumsum(first) - 1, mask=~first))
+                columns = [pa.array(found), pa.array(size.astype(np.int32)), pa.array(share.astype(np.int32)), pa.array(rare.astype(np.int32)), prefix, bits]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *columns], ["key", "class", "size", "weight", "rare", "prefix", "bits"])
 
+    return docs.select("key", "text").mapInArrow(profile, f"key {dict(docs.dtypes)['key']}, class long, size int, weight int, rare int, prefix array<long>, bits binary")
 
-def listed_pairs(entries: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """From (gram, class, size, place, weight, heavy): (a, b, least, gram, weight). b is null for an entry of a list over LONG, which makes no pairs.
-
-    least: rare n-grams that the two prefixes share if there is a link. Of two prefixes, that whose last n-gram comes first has in both prefixes all it
-    shares with the other set, so overlap - (size - prefix) n-grams are shared there at least, of which ``heavy`` may be heavy.
-    """
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, rows, long, met = None, [], False, set()
-        out: list[tuple] = []
+ENTRY = ["gram", "class", "size", "place", "weight"]
 
-        def close() -> None:
-            for i, (a, size_a, place_a, _, heavy_a) in enumerate(rows):
-                for b, size_b, place_b, _, heavy_b in rows[i + 1 :]:  # by size, then place
-                    if size_b * percent > size_a * 100:
-                        break  # this block and all after it are too large
-                    need = -(-(size_a + size_b) * percent // (100 + percent))
-                    if min(place_a, place_b) + min(size_a - place_a, size_b - place_b) >= need and a != b:
-                        least = need + 1 + min(-size_a * percent // 100, -size_b * percent // 100) - min(heavy_a, heavy_b)
-                        out.append((min(a, b), max(a, b), least, None, None))
 
-        names = ["a", "b", "least", "gram", "weight"]
-
-        def flushed() -> pa.RecordBatch:
-            nonlocal out
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            out = []
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names)
-
-        for batch in batches:
-            found = [c.to_pylist() for c in batch.columns]
-            for g, *row in zip(*found, strict=True):
-                if g != gram:
-                    close()
-                    gram, rows, long, met = g, [], False, set()
-                if long:
-                    out.append((row[0], None, None, g, row[3]))
-                    continue
-                if row[0] in met:
-                    continue  # from another task
-                met.add(row[0])
-                rows.append(tuple(row))
-                if len(rows) > LONG:
-                    out += [(r[0], None, None, g, r[3]) for r in rows]
-                    rows, long = [], True
-            if len(out) > 100_000:
-                yield flushed()
-        close()
-        yield flushed()
-
-    ordered = entries.repartition(partitions, "gram").sortWithinPartitions("gram", "size", "place")
-    return ordered.mapInArrow(pairs, "a long, b long, least int, gram long, weight int")
+def short_pairs(entries: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(a, b, gram, size, place, weight) from entries (gram, class, size, place, weight), which may repeat: pairs (a, b) of lists of SHORT classes or
+    fewer that can be linked, and (a, null, ...), the entries of longer lists. A task keeps no more of a list than SHORT entries.
+    """
+    names, none = ["a", "b", "gram", "size", "place", "weight"], np.zeros(0, np.int64)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, long = [none] * 5, None  # entries of the last list so far, unless it is long and has been given
+        for batch in chain(batches, [None]):
+            columns = tail if batch is None else [np.concatenate((t, np.asarray(c).astype(np.int64))) for t, c in zip(tail, batch.columns, strict=True)]
+            tail = [none] * 5
+            gram, cls = columns[:2]
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])  # else a class that several tasks gave
+            gram, cls, size, place, weight = columns = [x[new] for x in columns]
+            if not len(gram):
+                continue
+            starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            n = np.diff(np.r_[starts, len(gram)])
+            is_long = n > SHORT
+            if long is not None:
+                is_long |= gram[starts] == long
+            if batch is not None:
+                long = gram[-1] if is_long[-1] else None
+                if long is None:  # the list may go on
+                    tail, (gram, cls, size, place, weight) = [x[starts[-1] :] for x in columns], [x[: starts[-1]] for x in columns]
+                    starts, n, is_long = starts[:-1], n[:-1], is_long[:-1]
+            at = np.flatnonzero(np.repeat(is_long, n))
+            entry = [pa.array(x[at].astype(k)) for x, k in ((gram, np.int64), (size, np.int32), (place, np.int32), (weight, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.nulls(len(at), pa.int64()), *entry], names)
+            left = np.repeat(starts + n, n) - np.arange(len(gram))  # entries of the list from here on
+            at, step = np.flatnonzero(np.repeat((n > 1) & ~is_long, n)), 1
+            while len(at := at[left[at] > step]):
+                at = at[size[at + step] * percent <= size[at] * 100]  # else this block of sizes and all after it are too large
+                kept = at[reachable(place[at], size[at], place[at + step], size[at + step], percent)]
+                a, b = cls[kept], cls[kept + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()), *[pa.nulls(len(a), pa.int32())] * 3], names)
+                step += 1
+
+    with storage.setting(entries.sparkSession, ARROW_ROWS, ENTRY_BATCH):
+        ordered = entries.select(*ENTRY).repartition(partitions, "gram").sortWithinPartitions("gram", "size", "place", "class")
+        return storage.written(ordered.mapInArrow(listed, "a long, b long, gram long, size int, place int, weight int"), "listed")
 
 
 def needed_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
-    """(class, set array<long>, sketch binary) of the classes in needed (class, least), from the text whose key is least. A few other
-    classes come with them, and a class may come twice. sketch: 16 bits of each n-gram."""
+    """(class, set array<long>) of the classes in needed (class, least), from the text whose key is least. A class may come twice.
+
+    A bitmap of fixed size leaves most other texts out; a join by class does the rest."""
     spark = docs.sparkSession
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * needed.count()).bit_length()))
+    bits = min(NEEDED_BITS[1], max(NEEDED_BITS[0], 1 << (16 * needed.count()).bit_length()))
     hashed = lambda df, key: df.withColumn("_hash", F.xxhash64(key))
 
     def places(found: np.ndarray, hashes: pa.Array) -> np.ndarray:
@@ -202,7 +250,7 @@ def needed_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
     bitmap = np.zeros(bits // 8, np.uint8)
     for row in hashed(needed, "least").select("class", "_hash").coalesce(16).mapInArrow(united, "bits binary").toLocalIterator():
         bitmap |= np.frombuffer(row["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = storage.broadcast(spark, bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.unpackbits(shared.value).view(bool)
@@ -212,93 +260,149 @@ def needed_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
                 found, size, cuts = signatures(value, of, texts.n)
                 kept = np.flatnonzero((size > 0) & there[places(found, batch.column(1).slice(at, to - at))])
                 parts = [value[cuts[i] : cuts[i + 1]] for i in kept]
-                sketches = [(p >> np.uint64(20)).astype("<u2").tobytes() for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(found[kept]), pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["class", "set", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[kept]), pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64()))], ["class", "set"])
 
-    return hashed(docs, "key").select("text", "_hash").mapInArrow(sets, "class long, set array<long>, sketch binary")
+    return hashed(docs, "key").select("text", "_hash").mapInArrow(sets, "class long, set array<long>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, size_a, size_b, common, delta) of the pairs (a, b, star) that may be linked, and of star pairs that are near enough for a member's link.
+def chosen(size, place, weight, cls, home, bits: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leader, places of the classes that may be near it, and itself; which of them may be linked with another of them) for each leader of one list, sorted
+    by size and position.
 
-    delta: what is in one set alone, for near pairs. Sketches give no less than what is common, so they leave out pairs without sets being sent.
+    home: 0, or a leader of an earlier round; classes of one home are done with each other. Each class without one comes near a leader or
+    is one. Where all have one, those outside the largest home become leaders.
     """
-    side = lambda c, of: sets.select(F.col("class").alias(c), F.col(of).alias(f"{of}_{c}"))
-    near = 2 * percent - 100
+    wanted, cover = home == 0, bool((home == 0).any())
+    if not cover:
+        homes, n = np.unique(home, return_counts=True)
+        wanted = home != homes[n.argmax()]
+    near, left = nearness(percent), np.ones(len(size), bool)
+    for i in np.lexsort((cls, weight))[::-1]:
+        if not wanted[i]:
+            continue
+        left[i] = False
+        lo, hi = np.searchsorted(size, (-(-size[i] * near // 100), size[i] * 100 // near + 1))  # the block of sizes
+        at = lo + np.flatnonzero(left[lo:hi])
+        at = at[reachable(place[at], size[at], place[i], size[i], near)]
+        if len(at):
+            at = at[within(apart_at_least(bits[i], [bits[k] for k in at]), size[at], size[i], near)]
+        asked = np.zeros(len(at) + 1, bool)
+        if len(at) > 1:
+            linked = within(apart_each([bits[k] for k in at]), size[at][:, None], size[at], percent)
+            asked[:-1] = linked.sum(1) > 1
+        yield i, np.append(at, i), asked
+        if cover:
+            wanted[at] = False
+
+
+def nearness(percent: int) -> int:
+    """Similarity to a leader from which on a set can be linked with one that is linked with the leader."""
+    return max(1, 2 * percent - 100)
+
+
+def led_lists(lists: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(gram, a, b, asked): leaders a and the classes b that may be near them, themselves included, of lists (gram, class, size, place, weight, home, bits) of TOGETHER entries or fewer."""
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in chain(batches, [None]):
+            table = pa.Table.from_batches([b for b in (tail, batch) if b is not None and b.num_rows]) if tail or batch else None
+            tail = None
+            if table is None or not table.num_rows:
+                continue
+            table = table.combine_chunks().to_batches()[0]
+            gram = np.asarray(table["gram"])
+            starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]).tolist()
+            if batch is not None:
+                tail = table.slice(starts[-1])
+            columns = [np.asarray(table[c]) for c in ("size", "place", "weight", "class", "home")]
+            bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["bits"]]
+            found = [], [], [], []
+            for at, to in pairwise([*starts, *[len(gram)] * (batch is None)]):
+                for i, near, asked in chosen(*(c[at:to] for c in columns), bits[at:to], percent):
+                    for column, value in zip(found, (np.full(len(near), gram[at]), np.full(len(near), columns[3][at + i]), columns[3][at:to][near], asked), strict=True):
+                        column.append(value)
+            kinds = (np.int64, np.int64, np.int64, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *x])) for x, k in zip(found, kinds, strict=True)], ["gram", "a", "b", "asked"])
+
+    return lists.repartition(partitions, "gram").sortWithinPartitions("gram", "size", "place", "class").mapInArrow(lead, "gram long, a long, b long, asked boolean")
+
+
+def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The rows of pairs (a, b, ...) that the parity bitmaps leave."""
 
     @F.arrow_udf("boolean")
-    def possible(first: pa.Array, second: pa.Array, star: pa.Array) -> pa.Array:
-        out = []
-        for x, y, of_leader in zip(first, second, star, strict=True):
-            x, y = (np.bincount(np.frombuffer(v.as_buffer(), "<u2"), minlength=1 << 16) for v in (x, y))
-            most, both = int(np.minimum(x, y).sum()), int(x.sum() + y.sum())
-            out.append(100 * most >= (near if of_leader.as_py() else percent) * (both - most))
-        return pa.array(out, pa.bool_())
-
-    asked = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
-    kept = asked.join(side("b", "sketch"), "b").join(side("a", "sketch"), "a").filter(possible("sketch_a", "sketch_b", "star")).select("a", "b")
-    kept = storage.written(kept.distinct(), "kept")
-    wanted = kept.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = storage.written(sets.select("class", "set").join(storage.written(wanted, "wanted"), "class", "left_semi"), "kept-sets")
-    joined = kept.join(side("b", "set"), "b").join(side("a", "set"), "a")
+    def may_be(bits_a: pa.Array, bits_b: pa.Array, size_a: pa.Array, size_b: pa.Array) -> pa.Array:
+        both = [[np.frombuffer(x.as_buffer(), np.uint64) for x in side] for side in (bits_a, bits_b)]
+        apart = np.array([apart_at_least(x, [y])[0] for x, y in zip(*both, strict=True)], np.int64)
+        return pa.array(within(apart, np.asarray(size_a), np.asarray(size_b), percent))
+
+    side = lambda c: bits.select(F.col("class").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("size").alias(f"size_{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").filter(may_be("bits_a", "bits_b", "size_a", "size_b")).select(*pairs.columns)
+
+
+def semi(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in wanted, a written table; that is broadcast if it is small."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, key, "left_semi")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, size_a, size_b, common, delta) of pairs (a, b). delta: where they are near enough for a leader and its class, what b alone has, then what a alone has."""
+    near = nearness(percent)
+    wanted = storage.written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
+    side = lambda c: semi(sets, wanted, "class").select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
 
     @F.arrow_udf("struct<size_a:long,size_b:long,common:long,delta:array<bigint>>")
     def compare(first: pa.Array, second: pa.Array) -> pa.Array:
         sizes_a, sizes_b, common, deltas = [], [], [], []
         for x, y in zip(first, second, strict=True):
             x, y = np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64)
-            apart = np.setxor1d(x, y, assume_unique=True)
-            both = (len(x) + len(y) - len(apart)) // 2
-            is_near = 100 * both >= near * (both + len(apart))
-            sizes_a.append(len(x)), sizes_b.append(len(y)), common.append(both), deltas.append(apart.view(np.int64) if is_near else None)
+            apart = np.concatenate((np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)))
+            sizes_a.append(len(x)), sizes_b.append(len(y)), common.append((len(x) + len(y) - len(apart)) // 2)
+            deltas.append(apart.view(np.int64) if within(len(apart), len(x), len(y), near) else None)
         return pa.StructArray.from_arrays([pa.array(sizes_a, pa.int64()), pa.array(sizes_b, pa.int64()), pa.array(common, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))], ["size_a", "size_b", "common", "delta"])
 
-    return joined.select("a", "b", compare("set_a", "set_b").alias("x")).groupBy("a", "b").agg(F.first("x").alias("x")).select("a", "b", "x.*")
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", compare("set_a", "set_b").alias("x"))
+    return joined.groupBy("a", "b").agg(F.first("x").alias("x")).select("a", "b", "x.*")
 
 
 def is_link(common, size_a, size_b, percent: int):
     return 100 * common >= percent * (size_a + size_b - common)
 
 
-def derived_links(led: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between a leader's members and the classes near it that are not, from their differences from it alone.
+def difference_links(led: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between two classes near one leader of which one at least is not linked with it, from their differences from it alone;
+    and (a leader, b class) of those that are not done at that leader, as they share a difference with more than ``most`` others.
 
-    led: (a leader, b, size_a, size_b, common, delta), near pairs only. |y ^ z| = |y ^ leader| + |z ^ leader| - 2 * (differences
-    shared); y and z are linked if |y ^ z| * (100 + t) <= (100 - t) * (|y| + |z|). As z is not linked with the leader and
-    |y ^ leader| is no less than | |y| - |leader| |, that needs a shared difference, so the differences are joined by n-gram.
-    """
-    apart = F.col("size_a") + F.col("size_b") - 2 * F.col("common")
-    linked = is_link(F.col("common"), F.col("size_a"), F.col("size_b"), percent)
-    members = led.filter(linked).select("a", "b", F.col("size_b").alias("size"), apart.alias("apart"), F.explode("delta").alias("gram"))
-    others = led.filter(~linked).select("a", F.col("b").alias("z"), F.col("size_b").alias("size_z"), apart.alias("apart_z"), F.explode("delta").alias("gram"))
-    shared = others.join(members, ["a", "gram"]).groupBy("a", "z", "b", "size_z", "size", "apart_z", "apart").agg(F.count("*").alias("same"))
-    link = (F.col("apart_z") + F.col("apart") - 2 * F.col("same")) * (100 + percent) <= (100 - percent) * (F.col("size_z") + F.col("size"))
-    return shared.filter(link).select(F.col("z").alias("a"), "b")
-
-
-def near_links(led: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between two classes that are near one leader and not linked with it, from their differences from it alone; and (leader, class)
-    of the near classes that are done with all others near that leader.
-
-    With differences D and E two are linked if (|D| + |E| - 2 |D & E|) * (100 + t) <= (100 - t) * (|y| + |z|). As |E| is over what a link
-    with the leader allows, |D & E| is at least about half of |D|; so it is enough to join the first |D| - that + 1 differences, the rarest first. A class
-    that has one there which more than NEAR others have too is not done; it goes on to the next leader.
+    led: (a leader, b, size_a, size_b, common, delta, linked, asked), near pairs only; those not asked have no link here. With differences D and E two classes
+    are linked if (|D| + |E| - 2 |D & E|) * (100 + t) <= (100 - t) * (|y| + |z|). If z is not linked with the leader, |E| is over what a link allows, so
+    |D & E| has to be about half of |D| or more; if z may meet classes that are linked, |D & E| has a smaller bound. It is enough to join so many of each
+    class's differences that what is left out is less than the bound, in one order: those that the leader lacks are the rare ones, and come first.
     """
     up, down = 100 + percent, 100 - percent
     apart = F.col("size_a") + F.col("size_b") - 2 * F.col("common")
-    others = led.filter(~is_link(F.col("common"), F.col("size_a"), F.col("size_b"), percent)).select("a", F.col("b").alias("z"), F.col("size_b").alias("size"), apart.alias("apart"), "delta", "size_a")
-    grams_ = others.select("a", "z", "apart", F.ceil((F.col("apart") * up + down * (F.col("size_a") - F.col("size"))) / (2 * up)).alias("least"), F.explode("delta").alias("gram"))
-    counted = grams_.join(grams_.groupBy("a", "gram").agg(F.count("*").alias("n")), ["a", "gram"])
-    place = F.row_number().over(W.partitionBy("a", "z").orderBy("n", "gram"))
-    first = storage.written(counted.withColumn("place", place).filter(F.col("place") <= F.col("apart") - F.greatest("least", F.lit(1)) + 1).select("a", "gram", "z", "n"), "differences")
-    done = first.groupBy("a", "z").agg(F.max("n").alias("n")).filter(F.col("n") <= NEAR).select(F.col("a").alias("leader"), F.col("z").alias("class"))
-    short = first.filter((F.col("n") > 1) & (F.col("n") <= NEAR)).drop("n")
-    met = short.join(short.withColumnRenamed("z", "y"), ["a", "gram"]).filter("z < y").select("a", "z", "y").distinct()
-    side = others.drop("size_a")
-    both = met.join(side, ["a", "z"]).join(side.select("a", F.col("z").alias("y"), F.col("size").alias("size_y"), F.col("apart").alias("apart_y"), F.col("delta").alias("delta_y")), ["a", "y"])
-    same = F.size(F.array_intersect("delta", "delta_y"))
-    links = both.filter((F.col("apart") + F.col("apart_y") - 2 * same) * up <= down * (F.col("size") + F.col("size_y"))).select(F.col("z").alias("a"), F.col("y").alias("b"))
-    return links, done
+    rows = led.filter("asked").select(F.col("a").alias("leader"), F.col("b").alias("class"), "linked", F.col("size_b").alias("size"), F.col("size_a").alias("base"), apart.alias("apart"), "delta")
+    rows = rows.join(rows.filter("not linked").select("leader").distinct(), "leader", "left_semi")
+    own = F.greatest(F.floor((F.col("apart") * up + down * (F.col("base") - F.col("size"))) / (2 * up)) + 1, F.lit(1))  # with a class that is not linked
+    any_ = F.greatest(F.ceil((F.col("apart") * up - down * (F.col("base") + F.col("size"))) / (2 * up)), F.lit(1))  # of a class not linked, with any
+    left = lambda least: (F.col("apart") - least + 1).cast("int")
+    first = rows.withColumns({"strict": left(own), "wide": F.greatest(F.when(F.col("linked"), left(own)).otherwise(left(any_)), F.lit(0))})
+    first = first.select("leader", "class", "linked", "strict", F.posexplode(F.slice("delta", F.lit(1), F.col("wide"))).alias("place", "gram"))
+    first = storage.written(first.select("leader", "gram", "class", "linked", (F.col("place") < F.col("strict")).alias("strict")), "differences")
+    if most is None:
+        late = first.filter("false")
+    else:
+        counts = storage.written(first.filter("not linked").groupBy("leader", "gram").agg(F.count("*").alias("n")).filter(F.col("n") > most), "common")
+        late = first.join(counts, ["leader", "gram"], "left_semi")
+        first = first.join(counts, ["leader", "gram"], "left_anti")
+    late = late.select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
+    met = first.filter("strict").alias("y").join(first.filter("not linked").alias("z"), F.expr("y.leader = z.leader and y.gram = z.gram and (y.linked or z.strict and y.class < z.class)"))
+    met = met.select("y.leader", F.col("y.class").alias("y"), F.col("z.class").alias("z")).distinct()
+    side = lambda c: rows.select("leader", F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "apart", "delta")))
+    both = met.join(side("y"), ["leader", "y"]).join(side("z"), ["leader", "z"])
+    same = F.size(F.array_intersect("delta_y", "delta_z"))
+    links = both.filter((F.col("apart_y") + F.col("apart_z") - 2 * same) * up <= down * (F.col("size_y") + F.col("size_z"))).select(F.col("y").alias("a"), F.col("z").alias("b"))
+    return links, late
 
 
 def shared_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
@@ -359,71 +463,72 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     class_size: rows with the same set; n_links: other classes whose sets are linked with the row's, all counted. It is left out if not ``links``.
     """
-    with storage.setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH):
+    with storage.setting(docs.sparkSession, ARROW_ROWS, BATCH):
         return _joined(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), key, width, percent, links)
 
 
-def _joined(docs: DataFrame, key: str, width: int, percent: int, with_links: bool) -> DataFrame:
+def all_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v), all but those between two members of a leader; and (leader, node, size, apart, delta) of each leader's members."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = storage.written(profiles(docs, width, percent, heavy_grams(docs, width)), "profiles")
-    classes = storage.written(rows.filter("size > 0").groupBy("class").agg(F.min("key").alias("least"), F.count("*").alias("class_size")), "classes")
-    rare = rows.select("class", "size", "weight", F.size("led").alias("heavy"), F.posexplode("rare").alias("place", "gram")).select("gram", "class", "size", "place", "weight", "heavy")
-    listed = storage.written(listed_pairs(rare, percent, partitions), "listed")
-    pairs = listed.filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("least").alias("least"))
-    longs = listed.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.count("*").alias("long"))
-    for side in ("a", "b"):
-        pairs = pairs.join(longs.select(F.col("class").alias(side), F.col("long").alias(f"long_{side}")), side, "left")
-    unseen = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
-    pairs = pairs.filter(F.col("shared") + unseen >= F.col("least")).select("a", "b", F.lit(False).alias("star"))
-    long_lists = listed.filter("b is null").select("gram", F.col("a").alias("class"), "weight")
-    rest = storage.written(rows.select(F.explode("led").alias("gram"), "class", "weight").unionByName(long_lists).distinct().withColumn("home", F.lit(None).cast("long")), "entries")
-    edges, members, sets = [], [], None
-    link = is_link(F.col("common"), F.col("size_a"), F.col("size_b"), percent)
-    for round_ in range(ROUNDS + 1):
-        if round_:  # short lists, and in the end all, are joined pair by pair; the others get their next leader
-            short = rest.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1" if round_ == ROUNDS else f"n between 2 and {LONG}").select(F.col("gram").alias("g"))
-            now = rest.join(short, F.col("gram") == F.col("g"), "left_semi")
-            pairs = now.alias("x").join(now.alias("y"), F.expr("x.gram = y.gram and x.class < y.class and coalesce(x.home <> y.home, true)")).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.lit(False).alias("star")).distinct()
-            rest = rest.join(short, F.col("gram") == F.col("g"), "left_anti")
-        leaders = rest.groupBy("gram").agg(F.max(F.struct("weight", "class")).alias("top"), F.count("*").alias("n")).filter("n > 1").select(F.col("gram").cast("string").alias("k"), F.col("top.class").alias("leader"))
-        met = lookup(rest.withColumn("k", F.col("gram").cast("string")), leaders, "k").filter("leader is not null")
-        met = storage.written(met.select("gram", "class", "weight", "home", "leader"), "met")
-        star = met.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"), F.lit(True).alias("star")).distinct()
-        every = storage.written(pairs.unionByName(star), "pairs")
-        if sets is None:
-            needed = storage.written(every.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", "least"), "needed")
-            sets = storage.written(needed_sets(docs, width, needed), "sets")
-        seen = storage.written(compared(every, sets, percent), "compared")
-        edges.append(seen.filter(link).select("a", "b"))
-        led = seen.join(star, ["a", "b"], "left_semi").filter("delta is not null")
-        links, done = near_links(led, percent)
-        edges += [derived_links(led, percent), links]
-        members.append(led.filter(link).select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("size_a") + F.col("size_b") - 2 * F.col("common")).alias("apart"), "delta"))
-        near = led.select(F.col("a").alias("leader"), F.col("b").alias("class"), link.alias("linked")).join(done.withColumn("now", F.xxhash64("leader", F.lit(round_))), ["leader", "class"], "left")
-        rest = met.filter("class <> leader").join(near, ["leader", "class"], "left").filter("not coalesce(linked, false)").select("gram", "class", "weight", F.coalesce("now", "home").alias("home"))
-        # classes near one leader are done with each other; a list of such ones alone is done
-        mixed = rest.groupBy("gram").agg(F.count_if(F.col("home").isNull()).alias("far"), F.min("home").alias("least"), F.max("home").alias("most")).filter("far > 0 or least < most").select(F.col("gram").alias("g"))
-        rest = storage.written(rest.join(mixed, F.col("gram") == F.col("g"), "left_semi"), "rest")
-        if rest.isEmpty():
+    entries = rows.filter("prefix is not null").select(F.posexplode("prefix").alias("place", "gram"), "class", "size", "weight", "rare")
+    listed = short_pairs(entries.filter("place < rare"), percent, partitions)
+    rest = listed.filter("b is null").select("gram", F.col("a").alias("class"), "size", "place", "weight").unionByName(entries.filter("place >= rare").select(*ENTRY))
+    rest = storage.written(rest.distinct().withColumn("home", F.lit(0).cast("long")), "entries")
+    short = possible(listed.filter("b is not null").select("a", "b").distinct(), classes, percent)
+    found, members, sets, round_ = [], [], None, 0
+    while True:
+        hashed = F.xxhash64("class")
+        slots = rest.groupBy("gram", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(4**round_)).alias("slot"))
+        slots = slots.agg(F.count("*").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftright(hashed, 8)).alias("s"), F.max(F.struct("weight", "class")).alias("top"), F.min("home").alias("low"), F.max("home").alias("high"))
+        lists = slots.groupBy("gram").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"), F.collect_list("top.class").alias("leaders"), F.min("low").alias("low"), F.max("high").alias("high"))
+        lists = lists.filter("n > 1 and (low = 0 or low < high)")  # classes of one home are done with each other
+        lists = lists.groupBy("n", "x", "s").agg(F.min("gram").alias("gram"), F.min_by("leaders", "gram").alias("leaders"))  # lists of the same classes are looked at once
+        lists = storage.written(lists.select("gram", F.when(F.col("n") > TOGETHER, F.col("leaders")).alias("leaders")), "lists")
+        if lists.isEmpty() and round_:
             break
-    links = edges[0]
-    for more in edges[1:]:
-        links = links.unionByName(more)
-    links = storage.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    found = components(links)
+        rest = rest.join(lists, "gram")
+        small = rest.filter("leaders is null").drop("leaders").join(classes.select("class", "bits"), "class")
+        large = rest.filter("leaders is not null").select("gram", F.explode("leaders").alias("a"), F.col("class").alias("b"))
+        near, large = storage.written(led_lists(small, percent, partitions), "near"), storage.written(large, "large")
+        star = near.unionByName(large.withColumn("asked", F.lit(True)))
+        pairs = near.filter("a <> b").select("a", "b").distinct().unionByName(possible(large.filter("a <> b").select("a", "b").distinct(), classes, nearness(percent)))
+        if sets is None:
+            pairs = storage.written(pairs.unionByName(short), "pairs")
+            # a class of a short list without a pair here led and is done with it, so later rounds need no other sets than these
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(large.select(F.col("b").alias("class"))).distinct()
+            sets = storage.written(needed_sets(docs, width, storage.written(needed.join(classes.select("class", "least"), "class"), "needed")), "sets")
+        seen = storage.written(compared(pairs.distinct(), sets, percent), "compared").withColumn("linked", is_link(F.col("common"), F.col("size_a"), F.col("size_b"), percent))
+        led = storage.written(seen.filter("delta is not null").join(star.groupBy("a", "b").agg(F.max("asked").alias("asked")), ["a", "b"]), "led")
+        links, late = difference_links(led, percent, NEAR if round_ < NEAR_ROUNDS else None)
+        found += [seen.filter("linked").select("a", "b"), storage.written(links, "derived")]
+        members.append(led.filter("linked").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("size_a") + F.col("size_b") - 2 * F.col("common")).alias("apart"), "delta"))
+        # a class that led is done with its list, as is one that is linked with a leader and done there; one that is near has a home
+        done = star.join(led.select("a", "b", "linked").join(late, ["a", "b"], "left_anti"), ["a", "b"]).select("gram", "b", F.col("linked").alias("gone"), F.col("a").alias("new"))
+        done = done.unionByName(star.filter("a = b").select("gram", "b", F.lit(True).alias("gone"), F.col("a").alias("new")))
+        done = done.groupBy("gram", F.col("b").alias("class")).agg(F.max("gone").alias("gone"), F.min("new").alias("new"))
+        rest = rest.drop("leaders").join(done, ["gram", "class"], "left").filter("not coalesce(gone, false)")
+        rest = storage.written(rest.withColumn("home", F.when(F.col("home") == 0, F.coalesce("new", F.lit(0))).otherwise(F.col("home"))).select(*ENTRY, "home"), "rest")
+        round_ += 1
+    links, more = reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, members)
+    return storage.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"), more
+
+
+def _joined(docs: DataFrame, key: str, width: int, percent: int, with_links: bool) -> DataFrame:
     names = ["component", "class_size"] + ["n_links"] * with_links
-    of_class = classes.select("class", "least", "class_size").join(found.withColumnRenamed("node", "class"), "class", "left")
-    if with_links:
-        linked = members[0]
-        for more in members[1:]:
-            linked = linked.unionByName(more)
-        linked = storage.written(linked.dropDuplicates(["leader", "node"]), "members")
-        of_class = of_class.join(degrees(links, linked, percent).withColumnRenamed("node", "class"), "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
-    of_class = of_class.withColumn("k", F.coalesce("component", "class").cast("string")).drop("component")
-    of_class = storage.written(of_class, "of-class")
+    with storage.scratch(docs.sparkSession) as kept:
+        rows = storage.written(profiles(docs, width, percent, heavy_grams(docs, width)), "profiles")
+        full = rows.filter("size > 0").groupBy("class").agg(F.min("key").alias("least"), F.count("*").alias("class_size"), F.first("size").alias("size"), F.first("bits", True).alias("bits"))
+        classes = storage.written(full, "classes")
+        links, members = all_links(docs, rows, classes, width, percent)
+        of_class = classes.select("class", "least", "class_size").join(components(links).withColumnRenamed("node", "class"), "class", "left")
+        if with_links:
+            members = storage.written(members.dropDuplicates(["leader", "node"]), "members")
+            of_class = of_class.join(degrees(links, members, percent).withColumnRenamed("node", "class"), "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        of_class = of_class.withColumn("k", F.coalesce("component", "class").cast("string")).drop("component")
+        of_class = kept(of_class, "of-class")
+        rows = kept(rows.select("key", "size", F.when(F.col("size") > 0, F.col("class").cast("string")).alias("k")), "classes-of-rows")
     named = lookup(of_class, of_class.groupBy("k").agg(F.min("least").alias("component")), "k").select(F.col("class").cast("string").alias("k"), *names)
-    out = lookup(rows.select("key", "size", F.when(F.col("size") > 0, F.col("class").cast("string")).alias("k")), named, "k")
-    return out.select(
+    return lookup(rows, named, "k").select(
         F.col("key").alias(key), F.col("size").cast("long").alias("size"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("key")).alias("component"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), *[F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] * with_links,
     )

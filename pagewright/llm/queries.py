@@ -9,6 +9,12 @@ from . import decontaminate, jaccard, language, lattice, oracles, repetition, sh
 
 URL_RULES = [urls.Rule("allow", "org"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
 
+#: A few names of known kind beside the urls that the rules judge: fixed values.
+URL_EXAMPLES = {
+    "block": "adult adult-xxx casino online-casino free-bets poker-bets cheap-pills spam-farm link-farm ads-track".split(),
+    "allow": "news school library science museum travel recipes music books wiki".split(),
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,9 +49,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's url judged by the rules, or else by the words of its names."""
+    """Every page's url judged by the rules, or else by what the words of its names say, learned from the urls that the rules judge."""
     pages = table(spark, sf_dir, "pages")
-    judged = urls.judged(pages.select("page_id", "url"), urls.word_counts(pages, "html"), URL_RULES)
+    judged = urls.judged(pages.select("page_id", "url"), urls.word_counts(pages, "html"), URL_RULES, URL_EXAMPLES)
     return judged.select("page_id", *(F.col(f"filter.{c}").alias(c) for c in ("host", "path", "rule", "verdict", "score")))
 
 

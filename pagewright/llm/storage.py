@@ -3,26 +3,58 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from urllib.parse import unquote, urlparse
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (one machine, as in tests), one of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset and one machine runs all (as in tests), one of our own."""
+    if _scratch:
+        return _scratch[-1][0]
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{SETTING} has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set(SETTING, root)
     return root.rstrip("/")
 
 
+_scratch: list[tuple[str, list[Broadcast]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written and values broadcast meanwhile are deleted at the end. Gives a function that writes a table for longer."""
+    outer = shared_root(spark)
+    folder, broadcasts = f"{outer}/scratch-{uuid.uuid4().hex[:12]}", []
+    _scratch.append((folder, broadcasts))
+    try:
+        yield lambda df, name: written(df, name, outer)
+    finally:
+        _scratch.pop()
+        for value in broadcasts:
+            value.destroy()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast(spark: SparkSession, value) -> Broadcast:
+    shared = spark.sparkContext.broadcast(value)
+    if _scratch:
+        _scratch[-1][1].append(shared)
+    return shared
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The URI of a folder of its own under the shared root."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -35,10 +67,10 @@ def new_file_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """df written once as Parquet in the shared folder (or under root) and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}" if root else new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -139,6 +139,9 @@ class Encoder(dict):
 
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
         self.mark_id, self.mark = max((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ids(" Ab1  cD\nE, f's.") != [i for part in ("ab1", "cd", "e", ",", "f's", ".") for i in ids(part)]:
+            raise ValueError(f"{path}: its ids are not those of lower-cased words in a row")
         self.ends = {c.encode(): array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
 
     def texts(self, texts: list[str]) -> list[bytes]:

@@ -2,12 +2,13 @@
 
 Names are the letter runs of a host's labels and of a path. Each distinct name is split into words by a unigram Viterbi:
 its substrings of ``LONGEST`` letters or fewer are joined with the word counts of running text, and the best split is folded
-over the name's edges. Multinomial naive Bayes learns from labelled names that are split the same way; a url is blocked if its words
-speak for that class. Names in many urls are scored once; look-ups send what a few keys hold by broadcast.
+over the name's edges. Multinomial naive Bayes learns from the urls that a rule judges, about ``SAMPLE`` for each verdict (those of smallest hash), but
+for the held-out ones (crc32 of the url mod 4 is 2), and from names given as examples; a url without a rule is blocked if its words
+speak for that. Words that were not learned say nothing. Names in many urls are scored once; look-ups send what a few keys hold by broadcast.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no words, and is judged by the prior alone;
-an unknown name is one word; names with no letter have no words; equal scores are allowed; urls that repeat are judged alike;
-an empty table gives no rows; other columns stay.
+an unknown name is one word; names with no letter have no words; equal scores are allowed; urls that repeat are judged alike, and learned from once;
+without labelled urls and examples every score is 0; an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -18,18 +19,14 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import storage
 from .skew import lookup
 
 LONGEST = 20  # letters of a word at most
 SMOOTHING = 1.0
-SEED_COUNT = 1000  # a labelled name's words count so often in the word counts
-#: Labelled names to learn from: fixed values.
-BLOCKED = """adult adult-xxx sex-cams porn-tube xxx-video escort-girls casino online-casino poker-bets free-bets sport-bets slots-bonus
-jackpot cheap-pills pharma-pills viagra-shop diet-pills weight-loss-pills spam-farm link-farm click-bait seo-links payday-loans
-fast-cash warez crack-serial keygen torrent-cracks fake-watches replica-bags get-rich-quick free-money win-prize""".split()
-ALLOWED = """news daily-news weather sport-news school university library science research history museum health-care hospital city
-travel-guide cooking recipes garden music film books open-source software docs wiki help support forum blog shop market
-bank government law energy climate data map photo art design family kids example home about contact""".split()
+SAMPLE = 20_000  # urls of a verdict that are learned from, about
+KNOWN_WORD, KNOWN_NAME = 1000, 50  # times that an example's words count among the words of running text; urls that it counts as
+BLOCK, ALLOW = "block", "allow"
 
 
 @dataclass(frozen=True)
@@ -111,44 +108,51 @@ def viterbi(name: str, edges: list[tuple[int, int, float]], unknown: float) -> l
     return [name[a:b] for a, b, _ in reversed(cuts)]
 
 
-class Bayes:
-    """log-odds of blocked against allowed for each word learned, and of the prior."""
+def held_out(url: Column) -> Column:
+    return F.crc32(F.encode(url, "UTF-8")) % 4 == 2
 
-    def __init__(self, blocked: list[list[str]], allowed: list[list[str]]):
-        counts = [pd.Series([w for words in side for w in words], dtype=object).value_counts() for side in (blocked, allowed)]
-        words = sorted(set(counts[0].index) | set(counts[1].index))
-        totals = [c.sum() + SMOOTHING * (len(words) + 1) for c in counts]
-        odds = lambda w: math.log((counts[0].get(w, 0) + SMOOTHING) / totals[0]) - math.log((counts[1].get(w, 0) + SMOOTHING) / totals[1])
-        self.words = {w: odds(w) for w in words}
-        self.prior = math.log(max(len(blocked), 1) / max(len(allowed), 1))
 
+def learned(labelled: DataFrame, words: DataFrame, examples: dict[str, list[str]]) -> tuple[DataFrame, float]:
+    """((word, odds), prior): log-odds of blocked against allowed for each word of the labelled urls (url, verdict) and of the examples, and of the prior.
 
-def learned(spark, counts: DataFrame) -> tuple[DataFrame, Bayes]:
-    """The word counts with those of the labelled names, and the classifier; both are of a fixed size beside the counts."""
-    parts = sorted({w for name in BLOCKED + ALLOWED for w in name.split("-")})
-    seeds = spark.range(1, numPartitions=1).select(F.explode(F.array(*map(F.lit, parts))).alias("word"), F.lit(SEED_COUNT).cast("long").alias("n"))
-    both = counts.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
-    return both, Bayes([name.split("-") for name in BLOCKED], [name.split("-") for name in ALLOWED])
-
-
-def judged(pages: DataFrame, counts: DataFrame, rules: list[Rule], url: str = "url", name: str = "filter") -> DataFrame:
+    words: (url, word), once for each place. examples: names of known words by verdict, the words with hyphens between.
+    """
+    spark = labelled.sparkSession
+    n = {BLOCK: 0, ALLOW: 0} | {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("verdict") == BLOCK, SAMPLE / max(n[BLOCK], 1)).otherwise(SAMPLE / max(n[ALLOW], 1))
+    sample = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < share * (1 << 30))
+    given = [(w, verdict, KNOWN_NAME) for verdict, names in examples.items() for name in names for w in name.split("-")]
+    each = words.join(sample, "url").select("word", "verdict", F.lit(1).alias("n")).unionByName(spark.createDataFrame(given, "word string, verdict string, n int"))
+    side = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v)
+    counts = storage.written(each.groupBy("word").agg(side(BLOCK), side(ALLOW)), "url-words")
+    all_ = counts.agg(F.sum(BLOCK).alias(BLOCK), F.sum(ALLOW).alias(ALLOW), F.count("*").alias("words")).first()
+    log_share = lambda v: F.log((F.col(v) + SMOOTHING) / ((all_[v] or 0) + SMOOTHING * (all_["words"] + 1)))
+    total = {v: n[v] + KNOWN_NAME * len(examples.get(v, ())) for v in n}
+    return counts.select("word", (log_share(BLOCK) - log_share(ALLOW)).alias("odds")), math.log(max(total[BLOCK], 1) / max(total[ALLOW], 1))
+
+
+def judged(pages: DataFrame, counts: DataFrame, rules: list[Rule], examples: dict[str, list[str]] | None = None, url: str = "url", name: str = "filter") -> DataFrame:
     """pages with a struct column ``name`` (host, path, rule, verdict, score); a column of that name is replaced.
 
-    counts: (word, n) of running text. score: log-odds of blocked against allowed.
+    counts: (word, n) of running text. examples: see ``learned``. score: log-odds of blocked against allowed.
     """
-    spark = pages.sparkSession
-    counts, model = learned(spark, counts)
+    spark, examples = pages.sparkSession, examples or {}
+    known = sorted({w for names in examples.values() for given in names for w in given.split("-")})
+    counts = counts.unionByName(spark.createDataFrame([(w, KNOWN_WORD) for w in known], "word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = storage.written(counts, "word-counts")
     urls = pages.select(F.col(url).alias("url")).filter("url is not null").distinct()
     used = urls.select("url", F.explode(names_in(F.concat_ws(" ", host_of(F.col("url")), path_of(F.col("url"))))).alias("name"))
-    odds = F.create_map(*(F.lit(x) for pair in model.words.items() for x in pair))
-    split = segmented(used.select("name").distinct(), counts)
-    names = split.select("name", F.aggregate("words", F.lit(0.0), lambda acc, w: acc + F.coalesce(F.try_element_at(odds, w), F.lit(0.0))).alias("odds"))
+    used, urls = storage.written(used, "url-names"), storage.written(urls, "urls")
+    split = storage.written(segmented(used.select("name").distinct(), counts), "split-names")
+    labelled = urls.select("url", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("verdict")).filter(~held_out(F.col("url")) & F.col("verdict").isNotNull())
+    odds, prior = learned(labelled, used.join(split, "name").select("url", F.explode("words").alias("word")), examples)
+    names = split.select("name", F.explode("words").alias("word")).join(odds, "word").groupBy("name").agg(F.sum("odds").alias("odds"))
     scores = lookup(used, names, "name").groupBy("url").agg(F.sum("odds").alias("score"))
     rows = pages.withColumn(name, F.struct(F.col(url).alias("url"), F.struct(*(F.col(c) for c in pages.columns)).alias("row")))
     found = lookup(rows.select(F.col(f"{name}.url").alias("url"), F.col(f"{name}.row").alias("row")), scores, "url")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    score = F.coalesce("score", F.lit(0.0)) + F.lit(model.prior)
+    score = F.coalesce("score", F.lit(0.0)) + F.lit(prior)
     rule = rule_of(host, path, rules)
-    verdict = F.coalesce(rule["verdict"], F.when(score > 0, "block").otherwise("allow"))
+    verdict = F.coalesce(rule["verdict"], F.when(score > 0, BLOCK).otherwise(ALLOW))
     struct = F.struct(host.alias("host"), path.alias("path"), rule["rule"].alias("rule"), verdict.alias("verdict"), score.alias("score"))
     return found.select(*(F.col("row").getField(c).alias(c) for c in pages.columns if c != name), struct.alias(name))

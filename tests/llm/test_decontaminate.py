@@ -86,3 +86,26 @@ def test_leaks_by_unicode(spark):
     }
     found = d.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.coverage) for r in found} == {(k, (k - 1) % 3 + 1, 1.0) for k in range(1, 7)}
+
+
+def test_all_pairs_against_plain_tiling(spark):
+    draw = random.Random(3)
+    word = lambda: f"w{draw.randint(0, 500)}"
+    common = [word() for _ in range(8)]  # in every item
+    items = [(draw.choice([None, None, i]), [word() for _ in range(draw.randint(2, 22))] + common + [word() for _ in range(draw.randint(0, 12))]) for i in range(12)]
+    items += [(5, items[0][1][:5]), (5, items[1][1]), (None, items[2][1]), (None, items[2][1])]
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(draw.randint(0, 5)):
+            own = draw.choice(items)[1]
+            at = draw.randrange(len(own))
+            parts += own[at : at + draw.randint(3, 16)] + [word() for _ in range(draw.randint(0, 3))]
+        docs.append((draw.choice([None, i]), parts))
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{key} long, text string")
+    got = d.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    once = sorted({(k, tuple(w)) for k, w in items}, key=str)
+    want = [(k, i, len(w)) for k, t in docs for i, w in once if len(w) >= 5 and 2 * greedy(t, list(w)) >= len(w)]
+    key = lambda r: str(tuple(r))
+    assert sorted(((r.doc_id, r.item_id, r.item_words) for r in got), key=key) == sorted(want, key=key)
+    assert any(i is None for _, i, _ in want) and len(want) > 20

@@ -1,11 +1,13 @@
 import itertools
 import math
+import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.llm import urls
-from pagewright.llm.queries import URL_RULES
+from pagewright.llm.queries import URL_EXAMPLES, URL_RULES
 
 SCHEMA = "page_id long, url string, html string, filter string, name string"
 URLS = [None, "", "no scheme", "http://", "http://A.Example.ORG", "https://x.example.org/es/1?x#y", "https://example.org/es", "http://example.org/en/12", "http://badexample.org/en/1",
@@ -25,7 +27,7 @@ def brute_rule(url):
 
 def run(spark, rows):
     pages = spark.createDataFrame(rows, SCHEMA)
-    return urls.judged(pages, urls.word_counts(pages, "html"), URL_RULES).collect()
+    return urls.judged(pages, urls.word_counts(pages, "html"), URL_RULES, URL_EXAMPLES).collect()
 
 
 def test_judged(spark):
@@ -39,7 +41,48 @@ def test_judged(spark):
         if rule:
             assert r["filter"].verdict == rule.verdict
     verdict = {r.url: r["filter"].verdict for r in got}
-    assert verdict[URLS[11]] == "block" and verdict["http://FreeBets.io"] == "block" and verdict[URLS[13]] == "allow" and verdict[None] == "allow"
+    assert verdict[URLS[11]] == "block" and verdict["http://FreeBets.io"] == "block" and verdict[URLS[13]] == "allow"
+    want = brute_scores({u for u in URLS if u is not None}, "the city library cheap pills".split(), len(URLS), URL_EXAMPLES)
+    assert all(abs(r["filter"].score - want[r.url]) < 1e-9 for r in got)
+    assert all(r["filter"].verdict == ("block" if want[r.url] > 0 else "allow") for r in got if not r["filter"].rule)
+
+
+def brute_scores(given, words, times, examples):
+    """The score of each url, and of None, by plain loops."""
+    known = {w for names in examples.values() for n in names for w in n.split("-")}
+    counts = {w: times for w in words}
+    for w in known:
+        counts[w] = counts.get(w, 0) + 1000
+    total = math.log(sum(counts.values()) + 1)
+
+    def split(name):
+        edges = [(i, n, math.log(counts[name[i : i + n]]) - total) for i in range(len(name)) for n in range(1, 21) if name[i : i + n] in counts]
+        return urls.viterbi(name, edges, -total)
+
+    def words_of(url):
+        host, path, _ = brute_rule(url)
+        return [w for name in re.findall(r"[^\W\d_]+", f"{host} {path}".lower()) for w in split(name)]
+
+    n, seen = {"block": 0, "allow": 0}, {"block": [], "allow": []}
+    for url in given:
+        rule = brute_rule(url)[2]
+        if rule and zlib.crc32(url.encode()) % 4 != 2:
+            n[rule.verdict] += 1
+            seen[rule.verdict] += words_of(url)
+    for verdict, names in examples.items():
+        n[verdict] += 50 * len(names)
+        seen[verdict] += [w for name in names for w in name.split("-")] * 50
+    vocabulary = {*seen["block"], *seen["allow"]}
+    share = lambda v, w: math.log((seen[v].count(w) + 1) / (len(seen[v]) + len(vocabulary) + 1))
+    prior = math.log(max(n["block"], 1) / max(n["allow"], 1))
+    return {None: prior} | {u: prior + sum(share("block", w) - share("allow", w) for w in words_of(u) if w in vocabulary) for u in given}
+
+
+def test_held_out_accuracy(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = urls.judged(pages.select("page_id", "url"), urls.word_counts(pages, "html"), URL_RULES).filter(urls.held_out(F.col("url")) & F.col("filter.rule").isNotNull())
+    right = got.select(F.when(F.col("filter.score") > 0, "block").otherwise("allow").alias("said"), "filter.verdict").collect()
+    assert len(right) > 50 and sum(r.said == r.verdict for r in right) >= 0.85 * len(right)
 
 
 def test_empty(spark):
