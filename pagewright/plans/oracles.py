@@ -134,7 +134,7 @@ _LEFT, _RIGHT = strip("split_part(p.text, '|', 1)"), strip("substr(p.text, strpo
 RUNNING = f"""known as materialized (select distinct doc_id, {normalize('bare')} as header from levelled where level > 0 and not mono and {normalize('bare')} <> ''),
 asked as materialized (select p.doc_id, p.page_no, p.para_no, p.text, case when {has(_LEFT, _NUMBER)} then {_RIGHT} when {has(_RIGHT, _NUMBER)} then {_LEFT} end as title from paras p
   where contains(p.text, '|') and not {has("regexp_extract(p.text, '[A-Za-z]')", '[a-z]')} and p.doc_id in (select doc_id from known)),
-met as (select a.*, k.header, regexp_extract(a.text, '(?i)^({_BAR_NUMBER}' || {_TITLE} || '{MARKS}*)', 1) as met, regexp_matches(a.text, '(?i)^' || {_TITLE} || '{MARKS}*{WHITE}*\\|{WHITE}*\\p{{Nd}}{{1,4}}{WHITE}*$') as ends_so from asked a join known k on k.doc_id = a.doc_id),
+met as (select a.*, k.header, regexp_extract(a.text, '(?i)^({_BAR_NUMBER}' || {_TITLE} || '{MARKS}*)', 1) as met, regexp_matches(a.text, '(?i)^' || {_TITLE} || '{MARKS}*{WHITE}*\\|{WHITE}*\\p{{Nd}}{{1,4}}{WHITE}*$') as ends_so from asked a join known k on k.doc_id = a.doc_id and contains(lower(a.text), split_part(k.header, ' ', 1))),
 cuts as (select *, case when met <> '' and starts_with({normalize(strip_digits('met'))}, header) then {sub(strip('substr(text, length(met) + 1)'), f'^{MARKS}+')} when ends_so then '' end as cut from met),
 chosen as (select * from cuts where cut is not null qualify row_number() over (partition by doc_id, page_no, para_no order by length(header) desc, header) = 1),
 weighed as (select p.doc_id, p.page_no, p.para_no, p.text, p.spans, c.cut, row_number() over (partition by p.doc_id, p.page_no order by p.para_no) = 1 and a.text is not null
