@@ -8,12 +8,11 @@ classes that share one such n-gram, by set size and by position in the prefix.
 positions from which too few n-grams are left. What is left is held against parity bitmaps (each n-gram flips one bit; two sets differ in as many
 n-grams at least as their bitmaps do in bits), which leave out pairs without sets being sent. Lists of ``SHORT`` classes or fewer give their pairs so.
 
-*Answers derived from a similar set's.* In a longer list leaders are chosen until each class is near one (1 - 2 * (1 - t) or more alike), or
-is a leader. Only a leader is compared with others. A class linked with a leader can be linked only with what is near that leader
-(the Jaccard distance is a metric); those links are derived from the n-grams in which the two differ from the leader, without their sets: see
-``difference_links``. Classes near different leaders go on to the next round. Links between two members of
-a leader change no component; where they are asked for they are counted from the same differences, in blocks of members, at the least
-leader that both are linked with.
+*Answers derived from a similar set's.* In a longer list leaders are chosen until each class that may have a link is led by one it may be linked with. What two
+classes linked with one leader have in common with each other is not asked: they are in its component; where links are asked for they are counted from the n-grams in which
+the two differ from the leader, in blocks of members. Lists over ``TOGETHER`` classes get their leaders by aggregation, and only these are compared with all. A class
+linked with such a leader can be linked only with what is near it (1 - 2 * (1 - t) or more alike, as the Jaccard distance is a metric); those links are
+derived from differences from the leader, without the sets: see ``difference_links``. What is far from the leaders goes on to the next round.
 
 N-grams and sets are told apart by 64-bit hashes. Defined results: null, empty and blank texts have no n-gram and no link; a text with fewer words than
 an n-gram has its whole word sequence as the one; the smallest key counts, null keys only where there is no other; rows alike
@@ -107,14 +106,6 @@ def apart_at_least(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def apart_each(bitmaps: list[np.ndarray]) -> np.ndarray:
-    """The same for each two of some bitmaps of about one length, all folded to the shortest."""
-    least = min(map(len, bitmaps))
-    folded = [np.bitwise_xor.reduce(x.reshape(-1, least)) for x in bitmaps]
-    words = np.stack(folded)
-    return np.stack([np.bitwise_count(words ^ own).sum(1, dtype=np.int64) for own in words])
-
-
 def within(apart, size_a, size_b, percent: int):
     """Whether sets that differ in so many n-grams are ``percent`` alike, or more."""
     return apart * (100 + percent) <= (100 - percent) * (size_a + size_b)
@@ -265,43 +256,40 @@ def needed_sets(docs: DataFrame, width: int, needed: DataFrame) -> DataFrame:
     return hashed(docs, "key").select("text", "_hash").mapInArrow(sets, "class long, set array<long>")
 
 
-def chosen(size, place, weight, cls, home, bits: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(leader, places of the classes that may be near it, and itself; which of them may be linked with another of them) for each leader of one list, sorted
-    by size and position.
-
-    home: 0, or a leader of an earlier round; classes of one home are done with each other. Each class without one comes near a leader or
-    is one. Where all have one, those outside the largest home become leaders.
-    """
-    wanted, cover = home == 0, bool((home == 0).any())
-    if not cover:
-        homes, n = np.unique(home, return_counts=True)
-        wanted = home != homes[n.argmax()]
-    near, left = nearness(percent), np.ones(len(size), bool)
-    for i in np.lexsort((cls, weight))[::-1]:
-        if not wanted[i]:
-            continue
-        left[i] = False
-        lo, hi = np.searchsorted(size, (-(-size[i] * near // 100), size[i] * 100 // near + 1))  # the block of sizes
-        at = lo + np.flatnonzero(left[lo:hi])
-        at = at[reachable(place[at], size[at], place[i], size[i], near)]
-        if len(at):
-            at = at[within(apart_at_least(bits[i], [bits[k] for k in at]), size[at], size[i], near)]
-        asked = np.zeros(len(at) + 1, bool)
-        if len(at) > 1:
-            linked = within(apart_each([bits[k] for k in at]), size[at][:, None], size[at], percent)
-            asked[:-1] = linked.sum(1) > 1
-        yield i, np.append(at, i), asked
-        if cover:
-            wanted[at] = False
-
-
 def nearness(percent: int) -> int:
     """Similarity to a leader from which on a set can be linked with one that is linked with the leader."""
     return max(1, 2 * percent - 100)
 
 
-def led_lists(lists: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """(gram, a, b, asked): leaders a and the classes b that may be near them, themselves included, of lists (gram, class, size, place, weight, home, bits) of TOGETHER entries or fewer."""
+def chosen(size, place, weight, cls, home, bits: list[np.ndarray], percent: int, cover: bool) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(class, classes that may be linked with it, whether it leads them), by places in one list that is sorted by size and position.
+
+    home: 0, or a leader that a class is linked with; two of one home are done with each other. If ``cover``, leaders are chosen until all that may have
+    a link are led; two that one leader leads are left to it, other pairs are given as they are.
+    """
+    n = len(size)
+    may = np.zeros((n, n), bool)
+    for i in range(n - 1):
+        at = np.arange(i + 1, np.searchsorted(size, size[i] * 100 // percent, "right"))  # the block of sizes
+        at = at[reachable(place[at], size[at], place[i], size[i], percent) & ((home[at] != home[i]) | (home[i] == 0))]
+        if len(at):
+            may[i, at] = within(apart_at_least(bits[i], [bits[k] for k in at]), size[at], size[i], percent)
+    may |= may.T
+    if cover:
+        open_, together = may.any(1), np.zeros((n, n), bool)
+        for i in np.lexsort((cls, weight))[::-1]:
+            if open_[i] and (led := np.flatnonzero(may[i])).size:
+                yield i, led, True
+                together[np.ix_(led, led)] = True
+                may[i] = may[:, i] = open_[i] = open_[led] = False
+        may &= ~together
+    for i in np.flatnonzero(may.any(1)):
+        if len(at := i + 1 + np.flatnonzero(may[i, i + 1 :])):
+            yield i, at, False
+
+
+def led_lists(lists: DataFrame, percent: int, partitions: int, cover: bool) -> DataFrame:
+    """(gram, a, b, leads): pairs that may be linked, of lists (gram, class, size, place, weight, home, bits) of TOGETHER entries or fewer; see ``chosen``."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -319,13 +307,13 @@ def led_lists(lists: DataFrame, percent: int, partitions: int) -> DataFrame:
             bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["bits"]]
             found = [], [], [], []
             for at, to in pairwise([*starts, *[len(gram)] * (batch is None)]):
-                for i, near, asked in chosen(*(c[at:to] for c in columns), bits[at:to], percent):
-                    for column, value in zip(found, (np.full(len(near), gram[at]), np.full(len(near), columns[3][at + i]), columns[3][at:to][near], asked), strict=True):
-                        column.append(value)
+                for i, others, leads in chosen(*(c[at:to] for c in columns), bits[at:to], percent, cover):
+                    for column, value in zip(found, (gram[at], columns[3][at + i], None, leads), strict=True):
+                        column.append(columns[3][at:to][others] if value is None else np.full(len(others), value))
             kinds = (np.int64, np.int64, np.int64, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *x])) for x, k in zip(found, kinds, strict=True)], ["gram", "a", "b", "asked"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *x])) for x, k in zip(found, kinds, strict=True)], ["gram", "a", "b", "leads"])
 
-    return lists.repartition(partitions, "gram").sortWithinPartitions("gram", "size", "place", "class").mapInArrow(lead, "gram long, a long, b long, asked boolean")
+    return lists.repartition(partitions, "gram").sortWithinPartitions("gram", "size", "place", "class").mapInArrow(lead, "gram long, a long, b long, leads boolean")
 
 
 def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -374,14 +362,13 @@ def difference_links(led: DataFrame, percent: int, most: int | None) -> tuple[Da
     """Links (a, b) between two classes near one leader of which one at least is not linked with it, from their differences from it alone;
     and (a leader, b class) of those that are not done at that leader, as they share a difference with more than ``most`` others.
 
-    led: (a leader, b, size_a, size_b, common, delta, linked, asked), near pairs only; those not asked have no link here. With differences D and E two classes
-    are linked if (|D| + |E| - 2 |D & E|) * (100 + t) <= (100 - t) * (|y| + |z|). If z is not linked with the leader, |E| is over what a link allows, so
+    led: (a leader, b, size_a, size_b, common, delta, linked), near pairs only. With differences D and E two classes are linked if (|D| + |E| - 2 |D & E|) * (100 + t) <= (100 - t) * (|y| + |z|). If z is not linked with the leader, |E| is over what a link allows, so
     |D & E| has to be about half of |D| or more; if z may meet classes that are linked, |D & E| has a smaller bound. It is enough to join so many of each
     class's differences that what is left out is less than the bound, in one order: those that the leader lacks are the rare ones, and come first.
     """
     up, down = 100 + percent, 100 - percent
     apart = F.col("size_a") + F.col("size_b") - 2 * F.col("common")
-    rows = led.filter("asked").select(F.col("a").alias("leader"), F.col("b").alias("class"), "linked", F.col("size_b").alias("size"), F.col("size_a").alias("base"), apart.alias("apart"), "delta")
+    rows = led.select(F.col("a").alias("leader"), F.col("b").alias("class"), "linked", F.col("size_b").alias("size"), F.col("size_a").alias("base"), apart.alias("apart"), "delta")
     rows = rows.join(rows.filter("not linked").select("leader").distinct(), "leader", "left_semi")
     own = F.greatest(F.floor((F.col("apart") * up + down * (F.col("base") - F.col("size"))) / (2 * up)) + 1, F.lit(1))  # with a class that is not linked
     any_ = F.greatest(F.ceil((F.col("apart") * up - down * (F.col("base") + F.col("size"))) / (2 * up)), F.lit(1))  # of a class not linked, with any
@@ -487,27 +474,34 @@ def all_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
         if lists.isEmpty() and round_:
             break
         rest = rest.join(lists, "gram")
-        small = rest.filter("leaders is null").drop("leaders").join(classes.select("class", "bits"), "class")
-        large = rest.filter("leaders is not null").select("gram", F.explode("leaders").alias("a"), F.col("class").alias("b"))
-        near, large = storage.written(led_lists(small, percent, partitions), "near"), storage.written(large, "large")
-        star = near.unionByName(large.withColumn("asked", F.lit(True)))
-        pairs = near.filter("a <> b").select("a", "b").distinct().unionByName(possible(large.filter("a <> b").select("a", "b").distinct(), classes, nearness(percent)))
+        small, large = rest.filter("leaders is null").drop("leaders"), rest.filter("leaders is not null")
+        near = storage.written(led_lists(small.join(classes.select("class", "bits"), "class"), percent, partitions, not round_), "near")
+        star = storage.written(large.select("gram", F.explode("leaders").alias("a"), F.col("class").alias("b")), "star")
+        pairs = near.select("a", "b").unionByName(possible(star.filter("a <> b").select("a", "b").distinct(), classes, nearness(percent)))
         if sets is None:
             pairs = storage.written(pairs.unionByName(short), "pairs")
-            # a class of a short list without a pair here led and is done with it, so later rounds need no other sets than these
-            needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(large.select(F.col("b").alias("class"))).distinct()
+            # later rounds look at pairs of the same classes again, or at those of long lists
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(star.select(F.col("b").alias("class"))).distinct()
             sets = storage.written(needed_sets(docs, width, storage.written(needed.join(classes.select("class", "least"), "class"), "needed")), "sets")
         seen = storage.written(compared(pairs.distinct(), sets, percent), "compared").withColumn("linked", is_link(F.col("common"), F.col("size_a"), F.col("size_b"), percent))
-        led = storage.written(seen.filter("delta is not null").join(star.groupBy("a", "b").agg(F.max("asked").alias("asked")), ["a", "b"]), "led")
-        links, late = difference_links(led, percent, NEAR if round_ < NEAR_ROUNDS else None)
-        found += [seen.filter("linked").select("a", "b"), storage.written(links, "derived")]
-        members.append(led.filter("linked").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("size_a") + F.col("size_b") - 2 * F.col("common")).alias("apart"), "delta"))
-        # a class that led is done with its list, as is one that is linked with a leader and done there; one that is near has a home
-        done = star.join(led.select("a", "b", "linked").join(late, ["a", "b"], "left_anti"), ["a", "b"]).select("gram", "b", F.col("linked").alias("gone"), F.col("a").alias("new"))
-        done = done.unionByName(star.filter("a = b").select("gram", "b", F.lit(True).alias("gone"), F.col("a").alias("new")))
-        done = done.groupBy("gram", F.col("b").alias("class")).agg(F.max("gone").alias("gone"), F.min("new").alias("new"))
-        rest = rest.drop("leaders").join(done, ["gram", "class"], "left").filter("not coalesce(gone, false)")
-        rest = storage.written(rest.withColumn("home", F.when(F.col("home") == 0, F.coalesce("new", F.lit(0))).otherwise(F.col("home"))).select(*ENTRY, "home"), "rest")
+        found.append(seen.filter("linked").select("a", "b"))
+        met = near.filter("leads").select("a", "b").unionByName(star.select("a", "b")).distinct()
+        members.append(seen.filter("linked").join(met, ["a", "b"], "left_semi").select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("size_a") + F.col("size_b") - 2 * F.col("common")).alias("apart"), "delta"))
+        # what a leader leads is looked at again if one of it is not linked with the leader after all
+        led = near.filter("leads").join(seen.select("a", "b", "linked"), ["a", "b"])
+        again = led.join(led.filter("not linked").select("gram", "a").distinct(), ["gram", "a"], "left_semi").groupBy("gram", F.col("b").alias("class")).agg(F.min(F.when(F.col("linked"), F.col("a"))).alias("new"))
+        home = lambda new: F.when(F.col("home") == 0, F.coalesce(new, F.lit(0))).otherwise(F.col("home")).alias("home")
+        left = small.join(again, ["gram", "class"]).select(*ENTRY, home(F.col("new")))
+        if not star.isEmpty():
+            led = storage.written(seen.filter("delta is not null").join(star.select("a", "b").distinct(), ["a", "b"], "left_semi"), "led")
+            links, late = difference_links(led, percent, NEAR if round_ < NEAR_ROUNDS else None)
+            found.append(storage.written(links, "derived"))
+            # a class that led is done with its list, as is one that is linked with a leader and done there; one that is near has a home
+            done = star.join(led.select("a", "b", "linked").join(late, ["a", "b"], "left_anti"), ["a", "b"]).select("gram", "b", F.col("linked").alias("gone"), F.col("a").alias("new"))
+            done = done.unionByName(star.filter("a = b").select("gram", "b", F.lit(True).alias("gone"), F.col("a").alias("new")))
+            done = done.groupBy("gram", F.col("b").alias("class")).agg(F.max("gone").alias("gone"), F.min("new").alias("new"))
+            left = left.unionByName(large.drop("leaders").join(done, ["gram", "class"], "left").filter("not coalesce(gone, false)").select(*ENTRY, home(F.col("new"))))
+        rest = storage.written(left, "rest")
         round_ += 1
     links, more = reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, members)
     return storage.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"), more
