@@ -1,6 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 WORD = r"[^\x20\x09-\x0D]+"
+ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP1 = rf"""
 with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as words from documents),
@@ -25,3 +26,36 @@ with h as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, ''
 d as (select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes, {" || ".join(_CHARACTER.format(i, s) for i in range(8) for s in (15, 10, 5, 0))} as payload_digest from h),
 m as (select *, max(page_id) over (partition by payload_digest) as kept from d)
 select page_id, payload_bytes, payload_digest, case when page_id = kept then 'response' else 'revisit' end as record_type, case when page_id <> kept then kept end as refers_to from m"""
+
+
+def _crc_table() -> list[int]:
+    """The 256 remainders of CRC-32, by its rule."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ 0xEDB88320 * (value & 1)
+        out.append(value)
+    return out
+
+
+_TABLE = f"{_crc_table()}::bigint[]"
+#: The unsigned CRC-32 of a list of bytes, and the bytes of a text.
+CRC = f"xor(list_reduce({{0}}, lambda acc, b: xor(acc >> 8, ({_TABLE})[(xor(acc, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"
+BYTES = "list_transform(range(1, octet_length(encode({0})) * 2, 2), lambda i: ('0x' || substr(hex(encode({0})), i, 2))::bigint)"
+
+_FEATURES = """
+{p}w as (select {id} as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') as words from {table}),
+{p}f as (select id, unnest(list_transform(range(1, len(words) - k + 2), lambda i: words[i:i + k - 1])) as feature from {p}w, unnest([1, 2, 3]) g(k) where len(words) >= k)"""
+OP13 = f"""
+with {_FEATURES.format(p="d", id="doc_id", table="documents", word=ASCII_WORD).strip()}, {_FEATURES.format(p="b", id="item_id", table="benchmark", word=ASCII_WORD).strip()},
+u as (select distinct word, {BYTES.format("word")} as b from (select unnest(words) as word from dw union all select unnest(words) from bw)),
+df2 as (select id, feature, count(*) as n from df group by all), bf2 as (select feature, count(*) as n from bf group by all),
+k as (select feature, {CRC.format("case len(feature) when 1 then x.b when 2 then list_concat(x.b, [32::bigint], y.b) else list_concat(x.b, [32::bigint], y.b, [32::bigint], z.b) end")} % 10000 as bucket
+  from (select distinct feature from (select feature from df2 union all select feature from bf2)) f join u x on x.word = feature[1] left join u y on y.word = feature[2] left join u z on z.word = feature[3]),
+s as (select bucket, sum(n)::double as s from df2 join k using (feature) group by all), t as (select bucket, sum(n)::double as t from bf2 join k using (feature) group by all),
+g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((select coalesce(sum(s), 0) from s) + 10000) / ((s + 1) * ((select coalesce(sum(t), 0) from t) + 10000))))::bigint as gain from s left join t using (bucket)),
+m as (select id, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from df2 join k using (feature) join g using (bucket) group by all),
+r as (select id as doc_id, len(words) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from dw left join m using (id)),
+p as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) filter (n_words >= 20) over () as able from r)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= floor(5 * able / 100) then place end as rank from p"""

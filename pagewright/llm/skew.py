@@ -24,3 +24,18 @@ def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     cold = right.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
     second = first.withColumn("_own", own_key).join(cold, F.col("_own") == F.col("_key"), "left")
     return second.select(*left.columns, *(F.coalesce(F.col(f"_found.{c}"), F.col(f"_cold.{c}")).alias(c) for c in values))
+
+
+def counted_lookup(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """left joined (left outer) with right, whose keys are unique and not null and whose column ``n`` has the rows of left for each, or more; they add up to ``total``.
+
+    Rows of right with 1/HOT_PARTS of the total or more (HOT_PARTS at most) are broadcast; rows of left that they serve are spread over the other join, where nothing matches them.
+    """
+    values = [c for c in right.columns if c not in keys]
+    is_hot = F.col(n) * HOT_PARTS >= max(total, 1)
+    hot = right.filter(is_hot).select(*keys, F.struct(*values).alias("_hot"))
+    first = left.join(F.broadcast(hot), keys, "left")
+    first = first.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*left.columns).bitwiseOR(F.lit(1).cast("long"))))
+    cold = right.filter(~is_hot).select(*keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_spread"))
+    second = first.join(cold, [*keys, "_spread"], "left")
+    return second.select(*left.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in values))

@@ -45,11 +45,11 @@ class Texts:
     def n(self) -> int:
         return len(self.offsets) - 1
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, documents) of the words."""
+    def spans(self, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, documents) of the words; gap: for each byte whether it parts words."""
         if not len(self.data):
             return (np.zeros(0, np.int64),) * 3
-        word = ~IS_SPACE[self.data]
+        word = ~gap[self.data]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
