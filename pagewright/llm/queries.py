@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, lattice, oracles, repetition, resample, sharding, storage, token_counts, token_files, urls, warc
+from . import decontaminate, jaccard, language, lattice, mixing, oracles, repetition, resample, sharding, storage, token_counts, token_files, urls, warc
 
 URL_RULES = [urls.Rule("allow", "org"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
 
@@ -104,13 +104,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's part in a mix of the sources at weights 3, 1, 2 that has one and a half times all words."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's importance weight towards the benchmark's texts, its score with noise, and its rank among the drawn 5 %."""
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_jaccard, op1_jaccard_links, op2_decontamination, op3_warc, op4_urls, op5_repetition, op6_token_files, op7_lattice, op8_token_counts, op9_sharding, op10_language, op13_resampling)}
+    return {f.__name__: f for f in (op1_jaccard, op1_jaccard_links, op2_decontamination, op3_warc, op4_urls, op5_repetition, op6_token_files, op7_lattice, op8_token_counts, op9_sharding, op10_language, op11_mixing, op13_resampling)}
 
 
 def oracle_sql():
