@@ -59,3 +59,17 @@ r as (select id as doc_id, len(words) as n_words, coalesce(n_features, 0)::bigin
   coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from dw left join m using (id)),
 p as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) filter (n_words >= 20) over () as able from r)
 select doc_id, n_features, weight, score, case when n_words >= 20 and place <= floor(5 * able / 100) then place end as rank from p"""
+
+OP12 = f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as place from conversations where conv_id is not null),
+c as (select conv_id, list(struct_pack(role := role, text := text) order by place) as own from t group by conv_id),
+h as (select conv_id, own, conv_id - conv_id % 20 as base, ({CRC.format(BYTES.format("conv_id::varchar"))} % 4)::int as h from c),
+r as (select h.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, h.h), list_slice(h.own, h.h + 1, len(h.own))) as turns from h left join c b on b.conv_id = h.base),
+p as (select conv_id, turns, d, list_slice(turns, 1, d) as prefix from r, unnest(range(0, len(turns) + 1)) g(d)),
+n as (select d, prefix, min(conv_id) as conv_id, count(*) as n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (len(turns) = d) as ended,
+  case when d = 0 then 0 else len(regexp_extract_all(prefix[d].text, '{WORD}')) end as words from p group by d, prefix),
+k as (select a.d, a.prefix, count(*) as n_children from n a join n b on b.d = a.d + 1 and list_slice(b.prefix, 1, a.d) = a.prefix group by a.d, a.prefix),
+m as (select n.*, coalesce(n_children, 0) as n_children from n left join k using (d, prefix)),
+s as (select u as d, list_slice(prefix, 1, u) as prefix, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * words)::bigint as saved_tokens from m, unnest(range(0, d + 1)) g(u) group by all)
+select m.conv_id, m.d::bigint as depth, q.conv_id as parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(m.ended, '')) as ends_sha256
+from m join s on s.d = m.d and s.prefix = m.prefix left join m q on q.d = m.d - 1 and q.prefix = list_slice(m.prefix, 1, m.d - 1)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, lattice, mixing, oracles, repetition, resample, sharding, storage, token_counts, token_files, urls, warc
+from . import decontaminate, jaccard, language, lattice, mixing, oracles, repetition, resample, sharding, storage, token_counts, token_files, trie, urls, warc
 
 URL_RULES = [urls.Rule("allow", "org"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
 
@@ -109,14 +109,19 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's importance weight towards the benchmark's texts, its score with noise, and its rank among the drawn 5 %."""
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_jaccard, op1_jaccard_links, op2_decontamination, op3_warc, op4_urls, op5_repetition, op6_token_files, op7_lattice, op8_token_counts, op9_sharding, op10_language, op11_mixing, op13_resampling)}
+    return {f.__name__: f for f in (op1_jaccard, op1_jaccard_links, op2_decontamination, op3_warc, op4_urls, op5_repetition, op6_token_files, op7_lattice, op8_token_counts, op9_sharding, op10_language, op11_mixing, op12_prefix_trie, op13_resampling)}
 
 
 def oracle_sql():
-    return {"op1_jaccard": oracles.OP1, "op1_jaccard_links": oracles.OP1_LINKS, "op3_warc": oracles.OP3, "op13_resampling": oracles.OP13}
+    return {"op1_jaccard": oracles.OP1, "op1_jaccard_links": oracles.OP1_LINKS, "op3_warc": oracles.OP3, "op12_prefix_trie": oracles.OP12, "op13_resampling": oracles.OP13}

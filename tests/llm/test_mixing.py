@@ -100,4 +100,4 @@ def test_other_weights(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
     got = mixing.mixed(frame, weights=(1, 5), percent=40, most=1).groupBy("target").sum("taken").collect()
     want = plain_targets(sizes, (1, 5), 40, 1)
-    assert sorted(r.target for r in got) == pytest.approx(sorted(set(want.values()))) and sum(r[1] for r in got) == pytest.approx(sum(sizes.values()) * 0.4, abs=2)
+    assert sorted(r.target for r in got) == pytest.approx(sorted({round(x, 9) for x in want.values()})) and sum(r[1] for r in got) == pytest.approx(sum(sizes.values()) * 0.4, abs=5)  # one source has lengths 0, 3 and 6 alone
