@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as t
-from ..operators import chunk, clean, headers, layout, markdown, merge, notes
+from ..operators import chunk, clean, headers, layout, markdown, merge, notes, vectors
 from . import fixtures, structure
 from .oracles import ORACLES
 
@@ -188,6 +188,16 @@ def card_validate(spark, sf_dir):
     return notes.check_cards(cards, known).select("note_id", "card_no", "id_ok", "unique", "type_ok", "cloze_ok", "path_ok", "tags_ok", "first_of_kind")
 
 
+def related_exact(spark, sf_dir):
+    """The ten nearest of all vectors for each whose id is divisible by 50."""
+    return vectors.neighbors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def related_indexed(spark, sf_dir):
+    """The same through an inverted-file index over all vectors."""
+    return vectors.related(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def queries():
     """Query functions by name."""
     on_spans = {
@@ -205,7 +215,7 @@ def queries():
         "normalize_text": _on_lines("normalized", lambda: t.normalize(F.col("line"))),
         "strip_digits_seps": _on_lines("stripped", lambda: t.strip_digits(F.col("line"))),
         "pipe_candidate": _on_lines("candidate", lambda: t.is_pipe_candidate(F.col("line"))),
-        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate)},
+        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate, related_exact, related_indexed)},
     }
 
 

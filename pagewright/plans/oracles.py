@@ -260,4 +260,7 @@ from conversations""",
 select doc_id, chunk_index, content, '' as book_title, '' as chapter_name, coalesce(h1, h2, h3, '') as section_name,
   map_from_entries(list_filter([{{'k': 'Header 1', 'v': h1}}, {{'k': 'Header 2', 'v': h2}}, {{'k': 'Header 3', 'v': h3}}], lambda x: x.v is not null))::json::varchar as metadata from chunks""",
     "chunk_stats": f"with recursive {SPLIT} select doc_id, count(*) as n_chunks, cast(sum(length(content)) as bigint) as n_chars, cast(max(length(content)) as int) as longest, cast(min(length(content)) as int) as shortest from chunks group by doc_id",
+    "related_exact": """with v as (select vec_id, embedding::double[] as e from embeddings),
+p as (select a.vec_id, b.vec_id as neighbor, round(list_cosine_similarity(a.e, b.e), 9) as similarity from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+select * from (select vec_id, row_number() over (partition by vec_id order by similarity desc, neighbor) as rank, neighbor, similarity from p) where rank <= 10""",
 }
