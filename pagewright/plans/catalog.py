@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as t
-from ..operators import chunk, clean, headers, layout, markdown, merge, notes, vectors
+from ..operators import chunk, clean, headers, layout, markdown, merge, notes, reviews, vectors
 from . import fixtures, structure
 from .oracles import ORACLES
 
@@ -198,6 +198,12 @@ def related_indexed(spark, sf_dir):
     return vectors.related(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def card_schedule(spark, sf_dir):
+    """Events taken as reviews of cards (a user's kind of event), in tens of their value as quality."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("quality", F.floor(F.col("value") / 10).cast("int"))
+    return reviews.schedule(events, ["user_id", "event_type"], "ts", "quality").withColumn("due", F.col("due").cast("string"))
+
+
 def queries():
     """Query functions by name."""
     on_spans = {
@@ -215,7 +221,7 @@ def queries():
         "normalize_text": _on_lines("normalized", lambda: t.normalize(F.col("line"))),
         "strip_digits_seps": _on_lines("stripped", lambda: t.strip_digits(F.col("line"))),
         "pipe_candidate": _on_lines("candidate", lambda: t.is_pipe_candidate(F.col("line"))),
-        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate, related_exact, related_indexed)},
+        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate, related_exact, related_indexed, card_schedule)},
     }
 
 

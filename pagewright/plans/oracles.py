@@ -263,4 +263,9 @@ select doc_id, chunk_index, content, '' as book_title, '' as chapter_name, coale
     "related_exact": """with v as (select vec_id, embedding::double[] as e from embeddings),
 p as (select a.vec_id, b.vec_id as neighbor, round(list_cosine_similarity(a.e, b.e), 9) as similarity from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
 select * from (select vec_id, row_number() over (partition by vec_id order by similarity desc, neighbor) as rank, neighbor, similarity from p) where rank <= 10""",
+    "card_schedule": """with recursive r as (select user_id, event_type, ts, greatest(0, least(5, floor(value / 10)::int)) as q, row_number() over (partition by user_id, event_type order by ts, floor(value / 10)) as i from events where ts is not null and value is not null),
+s as (select user_id, event_type, 0::bigint as i, 0::bigint as streak, 250::bigint as ease, 0::bigint as days, null::timestamp as ts from r where r.i = 1
+  union all select r.user_id, r.event_type, r.i, case when q < 3 then 0 else streak + 1 end, greatest(130, ease + 10 - (5 - q) * (8 + 2 * (5 - q))),
+  case when q < 3 or streak = 0 then 1 when streak = 1 then 6 else least(36500, (days * ease + 99) // 100) end, r.ts from s join r on r.user_id is not distinct from s.user_id and r.event_type is not distinct from s.event_type and r.i = s.i + 1)
+select user_id, event_type, i as n_reviews, streak as repetitions, ease / 100 as ease, days as interval_days, (ts::date + days::int)::varchar as due from (select *, max(i) over (partition by user_id, event_type) as n from s) where i = n""",
 }
