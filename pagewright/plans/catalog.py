@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as t
 from ..operators import chunk, clean, headers, layout, markdown, merge, notes, reviews, vectors
+from ..streaming import changes
 from . import fixtures, structure
 from .oracles import ORACLES
 
@@ -204,6 +205,16 @@ def card_schedule(spark, sf_dir):
     return reviews.schedule(events, ["user_id", "event_type"], "ts", "quality").withColumn("due", F.col("due").cast("string"))
 
 
+def note_changes(spark, sf_dir):
+    """Documents as notes in two versions: those of several lines, then a listing of those under 2,000 characters, every second with a line more."""
+    notes_ = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "n_chars")
+    table = changes.Changes(spark, structure.folder(spark, "digests"))
+    table.apply(notes_.filter(F.contains("content", F.lit("\n"))), 0)
+    edited = F.when(F.col("n_chars") % 2 == 0, F.concat("content", F.lit("\nreviewed"))).otherwise(F.col("content"))
+    found = table.apply(notes_.filter("length(content) < 2000").withColumn("content", edited), 1, complete=True)
+    return found.select(F.col("path").cast("long").alias("doc_id"), "change", F.length("content").cast("long").alias("n_chars"), "digest")
+
+
 def queries():
     """Query functions by name."""
     on_spans = {
@@ -221,7 +232,7 @@ def queries():
         "normalize_text": _on_lines("normalized", lambda: t.normalize(F.col("line"))),
         "strip_digits_seps": _on_lines("stripped", lambda: t.strip_digits(F.col("line"))),
         "pipe_candidate": _on_lines("candidate", lambda: t.is_pipe_candidate(F.col("line"))),
-        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate, related_exact, related_indexed, card_schedule)},
+        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate, related_exact, related_indexed, card_schedule, note_changes)},
     }
 
 
