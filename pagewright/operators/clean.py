@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as t
 from .layout import FIELDS, paragraph_text
 
+KEY = 8  # characters of a title that it is met by
+
 
 def with_first_text(spans: Column, text: Column, compat: bool = True) -> Column:
     """spans with the text of the first replaced; the others keep theirs, so that their text is there twice, or go if not ``compat``."""
@@ -33,16 +35,44 @@ def cut_header(text: Column, header: Column, compat: bool = True) -> Column:
     return F.when((met != "") & F.startswith(t.normalize(t.strip_digits(met)), header), rest).when(F.regexp_like(text, trailing), "")
 
 
-def is_pure_footer(text: Column, known: Column) -> Column:
-    """``number | title`` or ``title | number`` with exactly a known title."""
+def footer_title(text: Column) -> Column:
+    """The normalized title of ``number | title`` or ``title | number``; null if it is neither."""
     left, right = t.strip(t.before_pipe(text)), t.strip(t.after_pipe(text))
     number = r"\A\p{Nd}{1,4}\z"
     title = F.when(left.rlike(number), right).when(right.rlike(number), left)
-    return F.coalesce(F.array_contains(known, t.normalize(t.strip_digits(title))), F.lit(False))
+    return t.normalize(t.strip_digits(title))
+
+
+def squeezed(text: Column) -> Column:
+    """The word characters of a text, with case folded as patterns fold it."""
+    return t.replaced(F.lower(F.upper(text)), t.NOT_WORD)
+
+
+def header_cuts(asked: DataFrame, headers: DataFrame, compat: bool = True) -> DataFrame:
+    """(doc_id, page_no, para_no, cut, footer) of paragraphs (doc_id, page_no, para_no, text) that a title of theirs (doc_id, header) cuts; the first by length, then by name.
+
+    A title that cuts a paragraph has, squeezed, the characters that follow the page number there, or all that precede it; so titles are met by a join on their first
+    KEY characters, or on all, and only those that meet are tried as patterns. footer: whether the paragraph is a page number and a title, no more.
+    """
+    known = headers.withColumnRenamed("doc_id", "_doc").withColumn("_key", squeezed(F.col("header")))
+    text = F.col("text")
+    number = rf"\A{t.SPACE}*\p{{Nd}}{{1,4}}{t.SPACE}*\|"
+    after = F.when(text.rlike(number), t.replaced(squeezed(t.replaced(text, number)), r"\A\p{Nd}+"))
+    trailing = rf"\|{t.SPACE}*\p{{Nd}}{{1,4}}{t.SPACE}*\z"
+    before = F.when(text.rlike(trailing), squeezed(t.replaced(text, trailing)))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.greatest(F.length(after), F.lit(1)))), lambda n: F.substring(after, F.lit(1), n))
+    here = asked.withColumn("_whole", before).withColumn("_start", F.explode(F.concat(F.coalesce(starts, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))))
+    of_doc = F.col("doc_id") == F.col("_doc")
+    led = here.filter("_start <> ''").join(known, of_doc & (F.col("_start") == F.substring("_key", 1, KEY)))
+    ended = here.filter("_start is null and _whole is not null").join(known, of_doc & (F.col("_whole") == F.col("_key")))
+    tried = led.unionByName(ended).withColumn("cut", cut_header(text, F.col("header"), compat)).filter("cut is not null")
+    cuts = tried.groupBy("doc_id", "page_no", "para_no").agg(F.min_by(F.struct("cut", "text"), F.struct(-F.length("header"), "header")).alias("_first")).select("doc_id", "page_no", "para_no", "_first.*")
+    footers = cuts.withColumn("_title", footer_title(text)).join(known, of_doc & (F.col("_title") == F.col("header")), "left")
+    return footers.select("doc_id", "page_no", "para_no", "cut", F.col("header").isNotNull().alias("footer"))
 
 
 def drop_running_headers(paragraphs: DataFrame, headers: DataFrame, compat: bool = True) -> DataFrame:
-    """Paragraphs without running headers of their document's known titles (doc_id, header).
+    """Paragraphs without running headers of their document's known titles (doc_id, header), each there once.
 
     compat: two quirks stay; a cut paragraph keeps the text of its other spans beside what is left, and a title is cut out of a longer word.
 
@@ -50,14 +80,14 @@ def drop_running_headers(paragraphs: DataFrame, headers: DataFrame, compat: bool
     but a footer; whether a sentence is open there depends on the page before in the same way, so each page is worked out
     for both cases and the cases are folded along the document.
     """
-    by_length = headers.groupBy("doc_id").agg(F.expr("transform(sort_array(collect_list(struct(-length(header) as n, header))), h -> h.header)").alias("_known"))
-    df = paragraphs.join(by_length, "doc_id", "left").withColumn("_text", paragraph_text(F.col("spans")))
-    text, known = F.col("_text"), F.coalesce(F.col("_known"), F.array().cast("array<string>"))
+    df = paragraphs.withColumn("_text", paragraph_text(F.col("spans")))
+    text = F.col("_text")
     shielded = F.coalesce(F.regexp_extract(text, "([A-Za-z])", 1).rlike("[a-z]"), F.lit(False))
-    asked = F.contains(text, F.lit("|")) & ~shielded & (F.size(known) > 0)
-    cuts = F.filter(F.transform(known, lambda h: cut_header(text, h, compat)), lambda x: x.isNotNull())
+    asked = df.filter(F.contains(text, F.lit("|")) & ~shielded).select("doc_id", "page_no", "para_no", text.alias("text"))
+    of_page = header_cuts(asked, headers, compat).groupBy("doc_id", "page_no").agg(F.map_from_entries(F.collect_list(F.struct("para_no", F.struct("cut", "footer")))).alias("_cuts"))
+    df = df.join(of_page, ["doc_id", "page_no"], "left").withColumn("_found", F.try_element_at("_cuts", F.col("para_no"))).drop("_cuts")
     first = F.row_number().over(_page().orderBy("para_no")) == 1
-    df = df.withColumn("_cut", F.when(asked, F.get(cuts, F.lit(0)))).withColumn("_waits", first & asked & ~F.when(asked, is_pure_footer(text, known)).otherwise(False))
+    df = df.withColumn("_cut", F.col("_found.cut")).withColumn("_waits", first & F.coalesce(~F.col("_found.footer"), F.lit(False)))
     cut_spans = F.when(F.col("_cut").isNull(), F.col("spans")).otherwise(with_first_text(F.col("spans"), F.col("_cut"), compat))
     df = df.withColumn("_cut_spans", cut_spans)
     opened = lambda x: t.ends_with_hyphen(x) | ~t.ends_sentence(x)

@@ -41,29 +41,60 @@ def with_fences(lines: DataFrame) -> DataFrame:
     return marked.withColumn("in_code", ~F.col("is_fence") & (count % 2 == 1))
 
 
-def drop_repeated_headers(lines: DataFrame) -> DataFrame:
-    """Lines without running headers around a pipe that repeat a Markdown header above them."""
+FEW = 32  # titles of a document that are looked through one by one for each asked line
+
+
+def drop_repeated_headers(lines: DataFrame, few: int = FEW) -> DataFrame:
+    """Lines without running headers around a pipe that repeat a Markdown header above them.
+
+    Titles of documents with more than ``few`` are found by their parts of ten characters (seen_by_parts), so that the work follows the matches; the rows are the same either way.
+    """
     df = with_fences(lines)
     plain = ~F.col("is_fence") & ~F.col("in_code")
     df = df.withColumn("_header", plain & t.is_header_line(F.col("line")))
     title = t.normalize(t.strip(t.replaced(F.col("line"), r"\A#+")))
-    seen = df.filter("_header").select("doc_id", "line_no", title.alias("title")).filter("title <> ''").groupBy("doc_id", "title").agg(F.min("line_no").alias("since"))
-    seen = seen.groupBy("doc_id").agg(F.collect_list(F.struct("since", "title")).alias("_seen"))
+    titles = df.filter("_header").select("doc_id", "line_no", title.alias("title")).filter("title <> ''").groupBy("doc_id", "title").agg(F.min("line_no").alias("since"))
+    titles = titles.withColumn("_n", F.count("*").over(W.partitionBy("doc_id")))
     df = df.withColumn("_asked", plain & ~F.col("_header") & t.is_pipe_candidate(F.col("line")))
-    asked = df.filter("_asked").join(seen, "doc_id").withColumn("_seen", F.expr("transform(filter(_seen, s -> s.since < line_no), s -> s.title)"))
-    asked = asked.select("doc_id", "line_no", without_header(F.col("line"), F.col("_seen")).alias("_left"))
-    df = df.join(asked, ["doc_id", "line_no"], "left").filter("_left is null or _left <> ''")
-    return df.select("doc_id", "line_no", F.coalesce("_left", "line").alias("line"))
-
-
-def without_header(line: Column, seen: Column) -> Column:
-    """What is left of a line without a seen title and the page number at its pipe; null if there is no such title."""
+    asked = df.filter("_asked").select("doc_id", "line_no", "line")
+    left, right = t.normalize(t.strip_digits(t.before_pipe(F.col("line")))), t.normalize(t.strip(t.after_pipe(F.col("line"))))
+
+    listed = titles.filter(F.col("_n") <= few).groupBy("doc_id").agg(F.collect_list(F.struct("since", "title")).alias("_seen"))
+    short = asked.join(listed, "doc_id").withColumn("_above", F.expr("transform(filter(_seen, s -> s.since < line_no), s -> s.title)"))
+    short = short.select("doc_id", "line_no", "line", t.matches_seen(left, F.col("_above")).alias("_left"), t.matches_seen(right, F.col("_above")).alias("_right"))
+    many = titles.filter(F.col("_n") > few).select("doc_id", "title", "since")
+    sides = asked.join(many.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "line_no", "line", F.posexplode(F.array(left, right)).alias("side", "text"))
+    met = seen_by_parts(sides, many).groupBy("doc_id", "line_no").agg(F.max(F.col("side") == 0).alias("_left"), F.max(F.col("side") == 1).alias("_right"), F.first("line").alias("line"))
+    marked = short.unionByName(met)
+
+    found = marked.select("doc_id", "line_no", without_header(F.col("line"), F.col("_left"), F.col("_right")).alias("_rest"))
+    df = df.join(found, ["doc_id", "line_no"], "left").filter("_rest is null or _rest <> ''")
+    return df.select("doc_id", "line_no", F.coalesce("_rest", "line").alias("line"))
+
+
+def seen_by_parts(sides: DataFrame, titles: DataFrame) -> DataFrame:
+    """The rows of sides (doc_id, line_no, text, ...) for which ``matches_seen`` holds with a title (doc_id, title, since) from above.
+
+    Of two texts of which one holds the other, the longer holds the first ten characters of the shorter: so one join on those of titles, and one on those of lines. Texts of
+    less than ten characters match whole.
+    """
+    parts = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 9, F.lit(1))), lambda i: F.substring(c, i, F.lit(10))))
+    seen = titles.withColumnRenamed("doc_id", "_doc")
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("_part") == F.col("_key")) & (F.col("since") < F.col("line_no"))
+    long = F.least(F.length("text"), F.length("title")) >= 10
+    texts = sides.filter("text <> ''")
+    held = texts.withColumn("_part", F.explode(parts(F.col("text")))).join(seen.withColumn("_key", F.substring("title", 1, 10)), same & ((F.col("title") == F.col("text")) | (long & F.contains("text", F.col("title")))), "left_semi")
+    holding = texts.withColumn("_part", F.substring("text", 1, 10)).join(seen.withColumn("_key", F.explode(parts(F.col("title")))), same & long & F.contains("title", F.col("text")), "left_semi")
+    return held.unionByName(holding).drop("_part")
+
+
+def without_header(line: Column, left_seen: Column, right_seen: Column) -> Column:
+    """What is left of a line without a seen title and the page number at its pipe; null if there is no such title. The flags say on which side of the pipe one is."""
     left, right = t.before_pipe(line), t.strip(t.after_pipe(line))
     body = t.replaced(t.replaced(right, rf"\A{t.SPACE}*\p{{Nd}}+{t.SPACE}*"), rf"\A{t.EDGE_MARKS}+")
-    title = t.normalize(right)
-    rest = t.replaced(t.strip(t.strip_header_prefix(right, title)), rf"\A{t.EDGE_MARKS}+")
+    rest = t.replaced(t.strip(t.strip_header_prefix(right, t.normalize(right))), rf"\A{t.EDGE_MARKS}+")
     number_first = left.rlike(rf"\A{t.SPACE}*\p{{Nd}}+{t.SPACE}*\z")
-    return F.when(t.matches_seen(t.normalize(t.strip_digits(left)), seen), body).when(number_first & t.matches_seen(title, seen), rest)
+    return F.when(left_seen, body).when(number_first & right_seen, rest)
 
 
 def drop_page_number(lines: DataFrame) -> DataFrame:

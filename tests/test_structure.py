@@ -278,3 +278,43 @@ def test_quirks_can_be_left_out(spark):
 
     assert cleaned(True) == ["Start.", "Its own body. body.", "s OF THINGS. THINGS.", "Some text. text."]
     assert cleaned(False) == ["Start.", "Its own body.", "3 | A Known Titles OF THINGS.", "Some text."]
+
+
+def test_titles_by_parts_give_the_same_rows(spark):
+    """Whether titles are looked through or met by their parts of ten characters, on random lines; short, held, holding and equal titles, above and below."""
+    draw = random.Random(12)
+    names = ["Alpha", "Deep Learning Basics", "Learning Basics", "A very long title about deep learning basics", "The End", "ten chars!", "nine char", "Größe und Maße", "x"]
+    pool = [lambda n: f"## {n}", lambda n: f"{n} | 12", lambda n: f"12 | {n}", lambda n: f"7 | {n} and a body that follows", lambda n: f"see {n.lower()} here | 3", lambda n: "plain text", lambda n: "```", lambda n: f"3 | {n[3:]}", lambda n: f"{n[:12]} | 9"]
+    rows = [(d, i, draw.choice(pool)(draw.choice(names))) for d in range(120) for i in range(30)]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no long, line string")
+    found = [sorted(map(tuple, markdown.drop_repeated_headers(lines, few).collect())) for few in (0, 3, 1000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) < len(rows)
+
+
+def test_many_titles_in_one_document(spark):
+    """5,000 titles and 5,000 piped lines or paragraphs of one document: work in proportion to what meets."""
+    titles = [f"Section {i:05d} of the book" for i in range(5000)]
+    rows = [(1, i, f"# {x}") for i, x in enumerate(titles)] + [(1, 5000 + i, f"{i} | {x} Body {i}") for i, x in enumerate(titles)]
+    got = markdown.drop_repeated_headers(spark.createDataFrame(rows, "doc_id long, line_no long, line string")).filter("line_no >= 5000").collect()
+    assert len(got) == 0  # the prefix that is taken off is the line's own text, body included
+    words = [f"{a}{b} nets {c}" for a in "abcdefghijklmnopq" for b in "rstuvwxyz" for c in map(chr, range(97, 123))]
+    paras = spark.createDataFrame([(1, i // 10, i, spans_of([f"{i % 9000} | {x.title()}: Body {i}"])) for i, x in enumerate(words)], f"doc_id long, page_no int, para_no int, spans {SPANS}")
+    known = spark.createDataFrame([(1, x) for x in words], "doc_id long, header string")
+    cuts = clean.header_cuts(paras.select("doc_id", "page_no", "para_no", layout.paragraph_text(F.col("spans")).alias("text")), known).collect()
+    assert len(cuts) == len(words) and all(r["cut"] == f"Body {r['para_no']}" and not r["footer"] for r in cuts)
+
+
+def test_header_cuts_against_all_titles(spark):
+    """The join loses no title that a pattern would find, with folded case, marks, pipes and digits between."""
+    draw = random.Random(13)
+    known = ["intro", "introduction", "deep nets", "deepnets x", "straße", "kelvin", "größe ½", "chapter 1", "1 intro", "a", "i̇stanbul"]
+    heads = ["12 | ", "1234|", "12 | 7 ", " 3 | - ", "12345 | ", "12 | 7-8 ", ""]
+    bodies = ["Intro", "INTRODUCTION", "Deep | Nets", "DeepNets x", "STRASSE", "Straße", "Kelvin", "Größe ½", "Chapter 1", "1 Intro", "A", "İstanbul", "Unknown"]
+    tails = ["", " | 42", ": Body", " - ", " rest | 7 ", "uction | 12345"]
+    texts_ = [draw.choice(heads) + draw.choice(bodies) + draw.choice(tails) for _ in range(600)]
+    asked = spark.createDataFrame([(1, 0, i, x) for i, x in enumerate(texts_)], "doc_id long, page_no int, para_no int, text string")
+    headers_ = spark.createDataFrame([(1, h) for h in known], "doc_id long, header string")
+    for compat in (True, False):
+        all_ = asked.crossJoin(headers_.select("header")).withColumn("cut", clean.cut_header(F.col("text"), F.col("header"), compat)).filter("cut is not null")
+        want = all_.groupBy("para_no").agg(F.min_by("cut", F.struct(-F.length("header"), "header")).alias("cut")).collect()
+        assert {r.para_no: r.cut for r in clean.header_cuts(asked, headers_, compat).collect()} == {r.para_no: r.cut for r in want} and len(want) > 100
