@@ -7,7 +7,7 @@ import logging
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from .operators import chunk as chunk_ops, layout, markdown
 from .plans import structure
@@ -69,8 +69,12 @@ def chunk(spark: SparkSession, args: argparse.Namespace) -> None:
         raise FileNotFoundError(args.input)
     read = files.read_markdown(spark, str(args.input))
     options = chunk_ops.ChunkOptions(args.chunk_size, args.overlap, args.min_size)
-    found = structure.to_chunks(markdown.to_lines(read), options, book_title=args.book_title, chapter_name=args.input.stem)
+    counts = Observation()
+    found = structure.kept(structure.to_chunks(markdown.to_lines(read), options, book_title=args.book_title, chapter_name=args.input.stem, observation=counts))
     target = args.output or args.input.with_suffix(".json")
+    log.info("%d sections, %d characters in chunks", counts.get["sections"], counts.get["characters"])
+    if counts.get["thin_chunks"]:
+        log.warning("%d chunks of fewer than %d characters dropped, %d characters in all", counts.get["thin_chunks"], args.min_size, counts.get["thin_characters"])
     log.info("%d chunks written to %s", files.export_chunks(found, str(target)), target)
 
 

@@ -6,12 +6,13 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from ..functions import text as t
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 UNPRINTABLE = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"
+COUNTERS = ("sections", "chunks", "thin_chunks", "characters", "thin_characters")
 CODE = re.compile(r"```[\s\S]*?```")
 
 
@@ -120,8 +121,11 @@ def split_section(content: str, options: ChunkOptions) -> list[str]:
     return chunks
 
 
-def chunks(found: DataFrame, options: ChunkOptions = ChunkOptions(), book_title: str | None = None, chapter_name: Column | str | None = None) -> DataFrame:
-    """(doc_id, chunk_index, content, book_title, chapter_name, section_name, metadata) of sections; thin chunks go before they are numbered."""
+def chunks(found: DataFrame, options: ChunkOptions = ChunkOptions(), book_title: str | None = None, chapter_name: Column | str | None = None, observation: Observation | None = None) -> DataFrame:
+    """(doc_id, chunk_index, content, book_title, chapter_name, section_name, metadata) of sections; thin chunks go before they are numbered.
+
+    observation: gets COUNTERS with the first action on the result, from the same pass: sections that gave chunks, chunks kept and dropped as thin, and characters of both.
+    """
 
     @F.pandas_udf("array<string>")
     def split(contents: pd.Series) -> pd.Series:
@@ -131,7 +135,13 @@ def chunks(found: DataFrame, options: ChunkOptions = ChunkOptions(), book_title:
     named = F.create_map(F.lit("book_title"), F.lit(book_title).cast("string"), F.lit("chapter_name"), chapter)
     metadata = F.map_concat("headers", F.map_filter(named, lambda _, v: F.coalesce(v != "", F.lit(False))))
     df = found.select("doc_id", "section_no", "headers", metadata.alias("metadata"), F.posexplode(split("content")).alias("piece", "content"))
-    df = df.withColumn("content", t.strip(F.col("content"))).filter(F.length("content") >= options.least)
+    df = df.withColumn("content", t.strip(F.col("content")))
+    thin = F.length("content") < options.least
+    if observation is not None:
+        chars = lambda which: F.coalesce(F.sum(F.when(which, F.length("content"))), F.lit(0)).cast("long")
+        counts = (F.count_if(F.col("piece") == 0), F.count_if(~thin), F.count_if(thin), chars(~thin), chars(thin))
+        df = df.observe(observation, *(c.alias(n) for c, n in zip(counts, COUNTERS, strict=True)))
+    df = df.filter(~thin)
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("section_no", "piece")) - 1
     name = lambda key: F.coalesce(F.try_element_at("metadata", F.lit(key)), F.lit(""))
     section = F.coalesce(*(F.try_element_at("headers", F.lit(f"Header {n}")) for n in (1, 2, 3)), F.lit(""))

@@ -175,8 +175,8 @@ def parse_cards(spark, sf_dir):
     return notes.parse_cards(replies).select("note_id", "card_no", "id", "type", "front", "back", "source_path", F.col("tags")[0].alias("tag"))
 
 
-def card_validate(spark, sf_dir):
-    """Turns of conversations taken as cards of a note."""
+def _cards(spark, sf_dir):
+    """(cards, notes): turns of conversations taken as cards of a note."""
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     index = (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).cast("int")
     mark = F.when(F.col("turn") % 5 == 4, ":").otherwise("::")
@@ -186,7 +186,31 @@ def card_validate(spark, sf_dir):
         F.concat(F.lit("turn-"), (F.col("turn") % 3).cast("string")).alias("source_path"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("chat"))).otherwise(F.array(F.lit("other"))).alias("tags"),
     )
     known = talks.select(F.col("conv_id").alias("note_id")).distinct().withColumns({"chunks": F.array(*(F.struct(F.lit(f"turn-{i}").alias("path"), F.lit("").alias("content")) for i in (0, 1))), "tags": F.array(F.lit("chat"))})
-    return notes.check_cards(cards, known).select("note_id", "card_no", "id_ok", "unique", "type_ok", "cloze_ok", "path_ok", "tags_ok", "first_of_kind")
+    return cards, known
+
+
+def card_validate(spark, sf_dir):
+    """Turns of conversations taken as cards of a note."""
+    return notes.check_cards(*_cards(spark, sf_dir)).select("note_id", "card_no", "id_ok", "unique", "type_ok", "cloze_ok", "path_ok", "tags_ok", "first_of_kind")
+
+
+def _resolved(spark, sf_dir):
+    """The same cards, their fronts cut to a word and a deletion put into every second cloze, resolved."""
+    cards, known = _cards(spark, sf_dir)
+    word = F.split("front", " ")[0]
+    front = F.when((F.col("type") == "cloze") & (F.col("card_no") % 4 == 1), F.concat(F.lit("{{c1::"), word, F.lit("}}"))).otherwise(word)
+    tags = F.concat("tags", F.array(F.concat_ws("_", F.lit("Of"), "type"), F.concat(F.lit("Turn "), (F.col("card_no") % 3).cast("string"))))
+    return notes.resolve_cards(cards.withColumns({"front": front, "back": F.col("front"), "tags": tags}), known)
+
+
+def card_accepted(spark, sf_dir):
+    found = _resolved(spark, sf_dir).filter("accepted")
+    return found.select("note_id", F.col("index").cast("long").alias("index"), "id", "type", "front", "back", "source_path", F.array_join("tags", ",").alias("tags"))
+
+
+def card_rejected(spark, sf_dir):
+    found = _resolved(spark, sf_dir).filter("not accepted")
+    return found.select("note_id", F.col("card_no").cast("long").alias("card_no"), "id", F.array_join("reasons", ",").alias("reasons"))
 
 
 def related_exact(spark, sf_dir):
@@ -232,7 +256,7 @@ def queries():
         "normalize_text": _on_lines("normalized", lambda: t.normalize(F.col("line"))),
         "strip_digits_seps": _on_lines("stripped", lambda: t.strip_digits(F.col("line"))),
         "pipe_candidate": _on_lines("candidate", lambda: t.is_pipe_candidate(F.col("line"))),
-        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate, related_exact, related_indexed, card_schedule, note_changes)},
+        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate, related_exact, related_indexed, card_schedule, note_changes, card_accepted, card_rejected)},
     }
 
 

@@ -206,6 +206,16 @@ restored as (select w.*, s.h1, s.h2, s.h3, {strip("list_reduce(list_prepend(w.co
   from windows w join guarded s on s.doc_id = w.doc_id and s.section_no = w.section_no where w.content <> ''),
 chunks as materialized (select doc_id, cast(row_number() over (partition by doc_id order by section_no, place, first) - 1 as int) as chunk_index, whole as content, h1, h2, h3 from restored where length(whole) >= 100)"""
 
+RESOLVED = """t as (select conv_id as note_id, row_number() over (partition by conv_id order by turn) - 1 as card_no, concat(conv_id, case when turn % 5 = 4 then ':' else '::' end, turn) as id,
+  case role when 'user' then 'qa' when 'assistant' then 'cloze' else role end as type, text as back, string_split(text, ' ')[1] as word, concat('turn-', turn % 3) as source_path, turn from conversations),
+c as (select *, case when type = 'cloze' and card_no % 4 = 1 then '{{c1::' || word || '}}' else word end as front,
+  [case when turn % 2 = 0 then 'chat' else 'other' end, 'of-' || type, 'turn-' || (card_no % 3)] as tags from t),
+judged as (select *, array_to_string(list_filter([case when coalesce(trim(front), '') = '' then 'front' end, case when coalesce(trim(back), '') = '' then 'back' end, case when not coalesce(type in ('qa', 'cloze'), false) then 'type' end,
+  case when type = 'cloze' and not contains(coalesce(front, ''), '{{c1::') then 'cloze' end, case when source_path not in ('turn-0', 'turn-1') then 'source_path' end], lambda x: x is not null), ',') as reasons from c),
+placed as (select *, lower(trim(front)) as key, row_number() over (partition by note_id, lower(trim(front)) order by card_no) as place from judged where reasons = ''),
+u as (select note_id, key, tag, min(card_no * 10 + pos) as met from (select note_id, key, card_no, unnest(tags) as tag, unnest([1, 2, 3]) as pos from placed) where tag <> 'chat' group by all),
+good as (select placed.*, list_concat(['chat'], own) as list_distinct_in_order from placed left join (select note_id, key, list(tag order by met) as own from u group by all) g using (note_id, key))"""
+
 ORACLES = {
     "spans_fixture": spans_sql("duckdb"),
     "md_fixture": lines_sql("duckdb"),
@@ -272,4 +282,9 @@ select user_id, event_type, i as n_reviews, streak as repetitions, ease / 100 as
 b as (select doc_id, text || case when n_chars % 2 = 0 then chr(10) || 'reviewed' else '' end as content from documents where length(text) < 2000)
 select coalesce(a.doc_id, b.doc_id) as doc_id, case when content is null then 'delete' when old is null then 'insert' else 'update' end as change, length(content) as n_chars, sha256(content) as digest
 from a full join b on a.doc_id = b.doc_id where old is distinct from sha256(content)""",
+    "card_accepted": f"""with {RESOLVED}
+select note_id, row_number() over (partition by note_id order by card_no) - 1 as index, concat(note_id, '::', row_number() over (partition by note_id order by card_no) - 1) as id, type, front, back, source_path,
+  array_to_string(list_distinct_in_order, ',') as tags from good where place = 1""",
+    "card_rejected": f"""with {RESOLVED}
+select note_id, card_no, id, reasons from judged where reasons <> '' union all select note_id, card_no, id, 'duplicate' from good where place > 1""",
 }
