@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as t
 from .layout import paragraph_text
+from .store import kept
 
 FENCE = "```"
 
@@ -49,27 +50,28 @@ def drop_repeated_headers(lines: DataFrame, few: int = FEW) -> DataFrame:
 
     Titles of documents with more than ``few`` are found by their parts of ten characters (seen_by_parts), so that the work follows the matches; the rows are the same either way.
     """
-    df = with_fences(lines)
-    plain = ~F.col("is_fence") & ~F.col("in_code")
-    df = df.withColumn("_header", plain & t.is_header_line(F.col("line")))
+    df = with_fences(lines).filter(~F.col("is_fence") & ~F.col("in_code"))
+    df = df.withColumn("_header", t.is_header_line(F.col("line")))
+    df = df.filter(F.col("_header") | t.is_pipe_candidate(F.col("line")))
     title = t.normalize(t.strip(t.replaced(F.col("line"), r"\A#+")))
-    titles = df.filter("_header").select("doc_id", "line_no", title.alias("title")).filter("title <> ''").groupBy("doc_id", "title").agg(F.min("line_no").alias("since"))
+    sides = (t.normalize(t.strip_digits(t.before_pipe(F.col("line")))), t.normalize(t.strip(t.after_pipe(F.col("line")))))
+    texts = F.when(F.col("_header"), F.array(title)).otherwise(F.array(*sides))
+    df = kept(df.select("doc_id", "line_no", "_header", F.when(~F.col("_header"), F.col("line")).alias("line"), texts.alias("texts")))  # headers and asked lines, read four times
+
+    titles = df.filter("_header").select("doc_id", "line_no", F.col("texts")[0].alias("title")).filter("title <> ''").groupBy("doc_id", "title").agg(F.min("line_no").alias("since"))
     titles = titles.withColumn("_n", F.count("*").over(W.partitionBy("doc_id")))
-    df = df.withColumn("_asked", plain & ~F.col("_header") & t.is_pipe_candidate(F.col("line")))
-    asked = df.filter("_asked").select("doc_id", "line_no", "line")
-    left, right = t.normalize(t.strip_digits(t.before_pipe(F.col("line")))), t.normalize(t.strip(t.after_pipe(F.col("line"))))
+    asked = df.filter(~F.col("_header")).select("doc_id", "line_no", "line", "texts")
 
     listed = titles.filter(F.col("_n") <= few).groupBy("doc_id").agg(F.collect_list(F.struct("since", "title")).alias("_seen"))
     short = asked.join(listed, "doc_id").withColumn("_above", F.expr("transform(filter(_seen, s -> s.since < line_no), s -> s.title)"))
-    short = short.select("doc_id", "line_no", "line", t.matches_seen(left, F.col("_above")).alias("_left"), t.matches_seen(right, F.col("_above")).alias("_right"))
+    short = short.select("doc_id", "line_no", "line", *(t.matches_seen(F.col("texts")[i], F.col("_above")).alias(c) for i, c in enumerate(("_left", "_right")))).filter("_left or _right")
     many = titles.filter(F.col("_n") > few).select("doc_id", "title", "since")
-    sides = asked.join(many.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "line_no", "line", F.posexplode(F.array(left, right)).alias("side", "text"))
-    met = seen_by_parts(sides, many).groupBy("doc_id", "line_no").agg(F.max(F.col("side") == 0).alias("_left"), F.max(F.col("side") == 1).alias("_right"), F.first("line").alias("line"))
-    marked = short.unionByName(met)
+    long = asked.join(many.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "line_no", "line", F.posexplode("texts").alias("side", "text"))
+    met = seen_by_parts(long, many).groupBy("doc_id", "line_no").agg(F.max(F.col("side") == 0).alias("_left"), F.max(F.col("side") == 1).alias("_right"), F.first("line").alias("line"))
 
-    found = marked.select("doc_id", "line_no", without_header(F.col("line"), F.col("_left"), F.col("_right")).alias("_rest"))
-    df = df.join(found, ["doc_id", "line_no"], "left").filter("_rest is null or _rest <> ''")
-    return df.select("doc_id", "line_no", F.coalesce("_rest", "line").alias("line"))
+    found = short.unionByName(met).select("doc_id", "line_no", without_header(F.col("line"), F.col("_left"), F.col("_right")).alias("_rest")).filter("_rest is not null")
+    changed = lines.select("doc_id", "line_no", "line").join(found, ["doc_id", "line_no"], "left").filter("_rest is null or _rest <> ''")
+    return changed.select("doc_id", "line_no", F.coalesce("_rest", "line").alias("line"))
 
 
 def seen_by_parts(sides: DataFrame, titles: DataFrame) -> DataFrame:
