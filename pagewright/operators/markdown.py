@@ -33,16 +33,19 @@ def to_text(lines: DataFrame, name: str = "markdown") -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.expr("transform(sort_array(collect_list(struct(line_no, line))), l -> l.line)"), "\n").alias(name))
 
 
+def is_fence(line: Column) -> Column:
+    return F.startswith(t.strip(line), F.lit(FENCE))
+
+
 def with_fences(lines: DataFrame) -> DataFrame:
     """Adds is_fence and in_code: a line between an opening fence and the next."""
-    fence = F.startswith(t.strip(F.col("line")), F.lit(FENCE))
     before = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    marked = lines.withColumn("is_fence", fence)
+    marked = lines.withColumn("is_fence", is_fence(F.col("line")))
     count = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0))
     return marked.withColumn("in_code", ~F.col("is_fence") & (count % 2 == 1))
 
 
-FEW = 32  # titles of a document that are looked through one by one for each asked line
+FEW = 1000  # titles of a document that are looked through one by one for each asked line
 
 
 def drop_repeated_headers(lines: DataFrame, few: int = FEW) -> DataFrame:
@@ -50,9 +53,9 @@ def drop_repeated_headers(lines: DataFrame, few: int = FEW) -> DataFrame:
 
     Titles of documents with more than ``few`` are found by their parts of ten characters (seen_by_parts), so that the work follows the matches; the rows are the same either way.
     """
-    df = with_fences(lines).filter(~F.col("is_fence") & ~F.col("in_code"))
-    df = df.withColumn("_header", t.is_header_line(F.col("line")))
-    df = df.filter(F.col("_header") | t.is_pipe_candidate(F.col("line")))
+    line = F.col("line")
+    marked = lines.select("doc_id", "line_no", "line", t.is_header_line(line).alias("_header")).filter(F.col("_header") | is_fence(line) | t.is_pipe_candidate(line))  # other lines are not shuffled
+    df = with_fences(marked).filter(~F.col("is_fence") & ~F.col("in_code"))
     title = t.normalize(t.strip(t.replaced(F.col("line"), r"\A#+")))
     sides = (t.normalize(t.strip_digits(t.before_pipe(F.col("line")))), t.normalize(t.strip(t.after_pipe(F.col("line")))))
     texts = F.when(F.col("_header"), F.array(title)).otherwise(F.array(*sides))
@@ -75,19 +78,19 @@ def drop_repeated_headers(lines: DataFrame, few: int = FEW) -> DataFrame:
 
 
 def seen_by_parts(sides: DataFrame, titles: DataFrame) -> DataFrame:
-    """The rows of sides (doc_id, line_no, text, ...) for which ``matches_seen`` holds with a title (doc_id, title, since) from above.
+    """Rows of sides (doc_id, line_no, side, text, ...) for which ``matches_seen`` holds with a title (doc_id, title, since) from above, one for each such title.
 
     Of two texts of which one holds the other, the longer holds the first ten characters of the shorter: so one join on those of titles, and one on those of lines. Texts of
     less than ten characters match whole.
     """
     parts = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 9, F.lit(1))), lambda i: F.substring(c, i, F.lit(10))))
-    seen = titles.withColumnRenamed("doc_id", "_doc")
-    same = (F.col("doc_id") == F.col("_doc")) & (F.col("_part") == F.col("_key")) & (F.col("since") < F.col("line_no"))
+    keys = ["doc_id", "line_no", "side"]
+    texts, first = sides.filter("text <> ''"), lambda c: F.substring(c, 1, 10)
+    met = lambda line_part, title_part: texts.select(*keys, line_part(F.col("text")).alias("_part")).join(titles.select("doc_id", "since", title_part(F.col("title")).alias("_part")), ["doc_id", "_part"]).filter("since < line_no").select(*keys, "since")
+    pairs = met(lambda c: F.explode(parts(c)), first).unionByName(met(first, lambda c: F.explode(parts(c)))).distinct()  # numbers alone: texts come after
     long = F.least(F.length("text"), F.length("title")) >= 10
-    texts = sides.filter("text <> ''")
-    held = texts.withColumn("_part", F.explode(parts(F.col("text")))).join(seen.withColumn("_key", F.substring("title", 1, 10)), same & ((F.col("title") == F.col("text")) | (long & F.contains("text", F.col("title")))), "left_semi")
-    holding = texts.withColumn("_part", F.substring("text", 1, 10)).join(seen.withColumn("_key", F.explode(parts(F.col("title")))), same & long & F.contains("title", F.col("text")), "left_semi")
-    return held.unionByName(holding).drop("_part")
+    alike = (F.col("title") == F.col("text")) | (long & (F.contains("text", F.col("title")) | F.contains("title", F.col("text"))))
+    return pairs.join(texts, keys).join(titles, ["doc_id", "since"]).filter(alike).drop("since", "title")
 
 
 def without_header(line: Column, left_seen: Column, right_seen: Column) -> Column:
