@@ -24,5 +24,5 @@ def folder(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """df written once in the shared folder and read again, where several later steps read it."""
     path = folder(df.sparkSession, "structure")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
