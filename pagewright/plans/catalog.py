@@ -236,7 +236,7 @@ def note_changes(spark, sf_dir):
     table.apply(notes_.filter(F.contains("content", F.lit("\n"))), 0)
     edited = F.when(F.col("n_chars") % 2 == 0, F.concat("content", F.lit("\nreviewed"))).otherwise(F.col("content"))
     found = table.apply(notes_.filter("length(content) < 2000").withColumn("content", edited), 1, complete=True)
-    return found.select(F.col("path").cast("long").alias("doc_id"), "change", F.length("content").cast("long").alias("n_chars"), "digest")
+    return found.select(F.col("path").cast("long").alias("doc_id"), "change", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("n_chars"), "digest")
 
 
 def queries():

@@ -280,7 +280,7 @@ s as (select user_id, event_type, 0::bigint as i, 0::bigint as streak, 250::bigi
 select user_id, event_type, i as n_reviews, streak as repetitions, ease / 100 as ease, days as interval_days, (ts::date + days::int)::varchar as due from (select *, max(i) over (partition by user_id, event_type) as n from s) where i = n""",
     "note_changes": """with a as (select doc_id, sha256(text) as old from documents where contains(text, chr(10))),
 b as (select doc_id, text || case when n_chars % 2 = 0 then chr(10) || 'reviewed' else '' end as content from documents where length(text) < 2000)
-select coalesce(a.doc_id, b.doc_id) as doc_id, case when content is null then 'delete' when old is null then 'insert' else 'update' end as change, length(content) as n_chars, sha256(content) as digest
+select coalesce(a.doc_id, b.doc_id) as doc_id, case when content is null then 'delete' when old is null then 'insert' else 'update' end as change, coalesce(length(content), 0) as n_chars, sha256(content) as digest
 from a full join b on a.doc_id = b.doc_id where old is distinct from sha256(content)""",
     "card_accepted": f"""with {RESOLVED}
 select note_id, row_number() over (partition by note_id order by card_no) - 1 as index, concat(note_id, '::', row_number() over (partition by note_id order by card_no) - 1) as id, type, front, back, source_path,
