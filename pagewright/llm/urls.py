@@ -3,17 +3,19 @@
 Names are the letter runs of a host's labels and of a path. Each distinct name is split into words by a unigram Viterbi:
 its substrings of ``LONGEST`` letters or fewer are joined with the word counts of running text, and the best split is folded
 over the name's edges. Multinomial naive Bayes learns from the urls that a rule judges, about ``SAMPLE`` for each verdict (those of smallest hash), but
-for the held-out ones (crc32 of the url mod 4 is 2), and from names given as examples; a url without a rule is blocked if its words
+for the held-out ones (crc32 of the url mod 4 is 2). Names that stand in a rule are no features, neither in learning nor in scoring: what they say is
+the rules' own, and only what goes with them can carry over to urls without a rule. Such a url is blocked if its words
 speak for that. Words that were not learned say nothing. Names in many urls are scored once; look-ups send what a few keys hold by broadcast.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no words, and is judged by the prior alone;
 an unknown name is one word; names with no letter have no words; equal scores are allowed; urls that repeat are judged alike, and learned from once;
-without labelled urls and examples every score is 0; an empty table gives no rows; other columns stay.
+without labelled urls every score is 0; an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,7 +27,6 @@ from .skew import lookup
 LONGEST = 20  # letters of a word at most
 SMOOTHING = 1.0
 SAMPLE = 20_000  # urls of a verdict that are learned from, about
-KNOWN_WORD, KNOWN_NAME = 1000, 50  # times that an example's words count among the words of running text; urls that it counts as
 BLOCK, ALLOW = "block", "allow"
 
 
@@ -78,7 +79,7 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     lattice = names.select("name", F.explode(F.sequence(F.lit(1), size)).alias("start"), size.alias("size"))
     lattice = lattice.select("name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.col("size") - F.col("start") + 1))).alias("length"))
     lattice = lattice.select("name", "start", F.expr("substring(name, start, length)").alias("word"))
-    edges = lattice.join(counts, "word").select("name", F.struct("start", F.length("word").alias("length"), F.log("n").alias("score")).alias("edge"))
+    edges = lookup(lattice, counts, "word").filter("n is not null").select("name", F.struct("start", F.length("word").alias("length"), F.log("n").alias("score")).alias("edge"))
     grouped = edges.groupBy("name").agg(F.collect_list("edge").alias("edges"))  # LONGEST x length of the name at most
 
     @F.pandas_udf("array<string>")
@@ -112,41 +113,41 @@ def held_out(url: Column) -> Column:
     return F.crc32(F.encode(url, "UTF-8")) % 4 == 2
 
 
-def learned(labelled: DataFrame, words: DataFrame, examples: dict[str, list[str]]) -> tuple[DataFrame, float]:
-    """((word, odds), prior): log-odds of blocked against allowed for each word of the labelled urls (url, verdict) and of the examples, and of the prior.
+def rule_names(rules: list[Rule]) -> list[str]:
+    """The letter runs of the rules' hosts and paths, lower-cased."""
+    return sorted({name for rule in rules for name in re.findall(r"[^\W\d_]+", rule.text.lower())})
 
-    words: (url, word), once for each place. examples: names of known words by verdict, the words with hyphens between.
+
+def learned(labelled: DataFrame, used: DataFrame, split: DataFrame) -> tuple[DataFrame, float]:
+    """((word, odds), prior): log-odds of blocked against allowed for each word of the labelled urls (url, verdict), and of the prior.
+
+    used: (url, name), once for each place; split: (name, words). The sample is taken first, so its few urls bound the joins.
     """
-    spark = labelled.sparkSession
     n = {BLOCK: 0, ALLOW: 0} | {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("verdict") == BLOCK, SAMPLE / max(n[BLOCK], 1)).otherwise(SAMPLE / max(n[ALLOW], 1))
     sample = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < share * (1 << 30))
-    given = [(w, verdict, KNOWN_NAME) for verdict, names in examples.items() for name in names for w in name.split("-")]
-    each = words.join(sample, "url").select("word", "verdict", F.lit(1).alias("n")).unionByName(spark.createDataFrame(given, "word string, verdict string, n int"))
+    names = used.join(sample, "url").groupBy("name", "verdict").agg(F.count("*").alias("n"))
+    each = names.join(split, "name").select(F.explode("words").alias("word"), "verdict", "n")
     side = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v)
     counts = storage.written(each.groupBy("word").agg(side(BLOCK), side(ALLOW)), "url-words")
     all_ = counts.agg(F.sum(BLOCK).alias(BLOCK), F.sum(ALLOW).alias(ALLOW), F.count("*").alias("words")).first()
     log_share = lambda v: F.log((F.col(v) + SMOOTHING) / ((all_[v] or 0) + SMOOTHING * (all_["words"] + 1)))
-    total = {v: n[v] + KNOWN_NAME * len(examples.get(v, ())) for v in n}
-    return counts.select("word", (log_share(BLOCK) - log_share(ALLOW)).alias("odds")), math.log(max(total[BLOCK], 1) / max(total[ALLOW], 1))
+    return counts.select("word", (log_share(BLOCK) - log_share(ALLOW)).alias("odds")), math.log(max(n[BLOCK], 1) / max(n[ALLOW], 1))
 
 
-def judged(pages: DataFrame, counts: DataFrame, rules: list[Rule], examples: dict[str, list[str]] | None = None, url: str = "url", name: str = "filter") -> DataFrame:
+def judged(pages: DataFrame, counts: DataFrame, rules: list[Rule], url: str = "url", name: str = "filter") -> DataFrame:
     """pages with a struct column ``name`` (host, path, rule, verdict, score); a column of that name is replaced.
 
-    counts: (word, n) of running text. examples: see ``learned``. score: log-odds of blocked against allowed.
+    counts: (word, n) of running text. score: log-odds of blocked against allowed.
     """
-    spark, examples = pages.sparkSession, examples or {}
-    known = sorted({w for names in examples.values() for given in names for w in given.split("-")})
-    counts = counts.unionByName(spark.createDataFrame([(w, KNOWN_WORD) for w in known], "word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
     counts = storage.written(counts, "word-counts")
-    urls = pages.select(F.col(url).alias("url")).filter("url is not null").distinct()
+    urls = storage.written(pages.select(F.col(url).alias("url")).filter("url is not null").distinct(), "urls")
     used = urls.select("url", F.explode(names_in(F.concat_ws(" ", host_of(F.col("url")), path_of(F.col("url"))))).alias("name"))
-    used, urls = storage.written(used, "url-names"), storage.written(urls, "urls")
+    used = storage.written(used.filter(~F.col("name").isin(rule_names(rules))), "url-names")
     split = storage.written(segmented(used.select("name").distinct(), counts), "split-names")
     labelled = urls.select("url", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("verdict")).filter(~held_out(F.col("url")) & F.col("verdict").isNotNull())
-    odds, prior = learned(labelled, used.join(split, "name").select("url", F.explode("words").alias("word")), examples)
-    names = split.select("name", F.explode("words").alias("word")).join(odds, "word").groupBy("name").agg(F.sum("odds").alias("odds"))
+    odds, prior = learned(labelled, used, split)
+    names = lookup(split.select("name", F.explode("words").alias("word")), odds, "word").groupBy("name").agg(F.sum("odds").alias("odds"))
     scores = lookup(used, names, "name").groupBy("url").agg(F.sum("odds").alias("score"))
     rows = pages.withColumn(name, F.struct(F.col(url).alias("url"), F.struct(*(F.col(c) for c in pages.columns)).alias("row")))
     found = lookup(rows.select(F.col(f"{name}.url").alias("url"), F.col(f"{name}.row").alias("row")), scores, "url")

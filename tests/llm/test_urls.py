@@ -1,33 +1,33 @@
 import itertools
 import math
+import random
 import re
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from pagewright.llm import urls
-from pagewright.llm.queries import URL_EXAMPLES, URL_RULES
+from pagewright.llm.queries import URL_RULES
 
 SCHEMA = "page_id long, url string, html string, filter string, name string"
 URLS = [None, "", "no scheme", "http://", "http://A.Example.ORG", "https://x.example.org/es/1?x#y", "https://example.org/es", "http://example.org/en/12", "http://badexample.org/en/1",
         "http://m.example.com/fr/1", "http://www.example.com/de/1", "http://cheappills.example.net/x", "http://a.net?u=://b.org/z", "http://citylibrary.example.net/about#x", "http://FreeBets.io", "http://日本.jp/é/2", "http://a.net/" + "q" * 3000]
 
 
-def brute_rule(url):
+def brute_rule(url, rules=URL_RULES):
     if not url or "://" not in url:
         return "", "", None
     rest = url.split("://", 1)[1]
     cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
     host, rest = "".join(c.lower() if c.isascii() else c for c in rest[:cut]), rest[cut:]
     path = rest[: min([rest.find(c) for c in "?#" if c in rest], default=len(rest))]
-    fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     return host, path, max(fits, key=lambda r: len(r.text), default=None)
 
 
 def run(spark, rows):
     pages = spark.createDataFrame(rows, SCHEMA)
-    return urls.judged(pages, urls.word_counts(pages, "html"), URL_RULES, URL_EXAMPLES).collect()
+    return urls.judged(pages, urls.word_counts(pages, "html"), URL_RULES).collect()
 
 
 def test_judged(spark):
@@ -40,49 +40,69 @@ def test_judged(spark):
         assert (r["filter"].host, r["filter"].path, r["filter"].rule) == (host, path, rule and rule.text)
         if rule:
             assert r["filter"].verdict == rule.verdict
-    verdict = {r.url: r["filter"].verdict for r in got}
-    assert verdict[URLS[11]] == "block" and verdict["http://FreeBets.io"] == "block" and verdict[URLS[13]] == "allow"
-    want = brute_scores({u for u in URLS if u is not None}, "the city library cheap pills".split(), len(URLS), URL_EXAMPLES)
+    want = brute_scores({u for u in URLS if u is not None}, ["the", "city", "library", "cheap", "pills"], len(URLS), URL_RULES)
     assert all(abs(r["filter"].score - want[r.url]) < 1e-9 for r in got)
     assert all(r["filter"].verdict == ("block" if want[r.url] > 0 else "allow") for r in got if not r["filter"].rule)
 
 
-def brute_scores(given, words, times, examples):
+def plain_split(name, counts):
+    """The best split, found from the name's end to its start."""
+    total, size = math.log(sum(counts.values()) + 1), len(name)
+    best = [(0.0, 0, 0, True)] * (size + 1)  # score, -words, next place, known
+    for i in reversed(range(size)):
+        ways = [(best[i + 1][0] - total - 3, best[i + 1][1] - 1, i + 1, False)]
+        for k in range(i + 1, min(i + 20, size) + 1):
+            if name[i:k] in counts:
+                ways.append((best[k][0] + math.log(counts[name[i:k]]) - total, best[k][1] - 1, k, True))
+        best[i] = max(ways, key=lambda w: w[:2])
+    words, at, run = [], 0, False
+    while at < size:
+        _, _, after, known = best[at]
+        if run and not known:
+            words[-1] += name[at:after]
+        else:
+            words.append(name[at:after])
+        at, run = after, not known
+    return words
+
+
+def brute_scores(given, words, times, rules):
     """The score of each url, and of None, by plain loops."""
-    known = {w for names in examples.values() for n in names for w in n.split("-")}
     counts = {w: times for w in words}
-    for w in known:
-        counts[w] = counts.get(w, 0) + 1000
-    total = math.log(sum(counts.values()) + 1)
-
-    def split(name):
-        edges = [(i, n, math.log(counts[name[i : i + n]]) - total) for i in range(len(name)) for n in range(1, 21) if name[i : i + n] in counts]
-        return urls.viterbi(name, edges, -total)
+    own = {n for r in rules for n in re.findall(r"[^\W\d_]+", r.host + r.path)}
 
     def words_of(url):
-        host, path, _ = brute_rule(url)
-        return [w for name in re.findall(r"[^\W\d_]+", f"{host} {path}".lower()) for w in split(name)]
+        host, path, _ = brute_rule(url, rules)
+        return [w for name in re.findall(r"[^\W\d_]+", f"{host} {path}".lower()) if name not in own for w in plain_split(name, counts)]
 
     n, seen = {"block": 0, "allow": 0}, {"block": [], "allow": []}
     for url in given:
-        rule = brute_rule(url)[2]
+        rule = brute_rule(url, rules)[2]
         if rule and zlib.crc32(url.encode()) % 4 != 2:
             n[rule.verdict] += 1
             seen[rule.verdict] += words_of(url)
-    for verdict, names in examples.items():
-        n[verdict] += 50 * len(names)
-        seen[verdict] += [w for name in names for w in name.split("-")] * 50
     vocabulary = {*seen["block"], *seen["allow"]}
     share = lambda v, w: math.log((seen[v].count(w) + 1) / (len(seen[v]) + len(vocabulary) + 1))
     prior = math.log(max(n["block"], 1) / max(n["allow"], 1))
     return {None: prior} | {u: prior + sum(share("block", w) - share("allow", w) for w in words_of(u) if w in vocabulary) for u in given}
 
 
-def test_held_out_accuracy(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    got = urls.judged(pages.select("page_id", "url"), urls.word_counts(pages, "html"), URL_RULES).filter(urls.held_out(F.col("url")) & F.col("filter.rule").isNotNull())
-    right = got.select(F.when(F.col("filter.score") > 0, "block").otherwise("allow").alias("said"), "filter.verdict").collect()
-    assert len(right) > 50 and sum(r.said == r.verdict for r in right) >= 0.85 * len(right)
+def test_what_is_learned_carries_over(spark):
+    """Rules know two hosts; the words that go with them are found in run-together names of other hosts, and held-out urls are judged right without the rules' words."""
+    draw = random.Random(4)
+    bad, good, both = "casino bets pills loan".split(), "library museum school recipes".split(), "city online best my".split()
+    rules = [urls.Rule("block", "farm.test"), urls.Rule("allow", "trust.test", "/en/")]
+    name = lambda own: draw.choice(both) + draw.choice(own) + draw.choice(both)
+    given = {f"http://{name(bad)}.farm.test/{i}" for i in range(300)} | {f"https://www.trust.test/en/{name(good)}/{i}" for i in range(300)}
+    others = {f"http://{name(own)}.io/{i}": v for v, own in (("block", bad), ("allow", good)) for i in range(60)}
+    html = "<p>" + " ".join(bad + good + both) + "</p>"
+    pages = spark.createDataFrame([(i, u, html) for i, u in enumerate(sorted(given | set(others)))], "page_id long, url string, html string")
+    got = {r.url: r["filter"] for r in urls.judged(pages, urls.word_counts(pages, "html"), rules).collect()}
+    want = brute_scores(given | set(others), bad + good + both, len(got), rules)
+    assert all(abs(f.score - want[u]) < 1e-9 for u, f in got.items())
+    assert all(got[u].rule is None and got[u].verdict == v for u, v in others.items())
+    held = [u for u in given if zlib.crc32(u.encode()) % 4 == 2]
+    assert len(held) > 100 and all((got[u].score > 0) == (got[u].verdict == "block") for u in held)
 
 
 def test_empty(spark):
