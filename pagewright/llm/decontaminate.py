@@ -2,14 +2,16 @@
 
 Texts are lower-cased words without punctuation at their ends, both by Unicode (see ``normal``). Documents are read once: a bitmap of fixed size, made from the
 benchmark's five-word seeds, leaves the stretches of a document whose every seed may be shared, and these are written. Their seeds
-are joined with the benchmark's. Tiles of five words or more that cover enough of an item hold a fifth of those words as its seeds at least, so documents
-and items that share fewer are left out. For each of the others greedy string tiling marks the longest matches of five words
+are joined with the benchmark's, with the places that these have in items. Tiles of five words or more cover no more of an item than the spans at those places
+do together, so documents and items that share less than a leak covers are left out. Seeds of more than ``HOT`` items are not joined where an item's other seeds
+must be met as well: an item leaves out the most frequent ones as long as they cover too little of it by themselves, and its pairs are then held to what those and the seeds met
+cover. For each of the others greedy string tiling marks the longest matches of five words
 or more that do not overlap, found by running Karp-Rabin, until none is left. An item is in a document if the tiles cover ``COVERED``
 of its words; tiles may lie in any order, so reordered passages count.
 
 Defined results: null and empty texts, and items of fewer than five words, share nothing; items of one id (or none: null) with different words are told
 apart and found each, those with the same words once; rows
-of one key with different texts are judged apart, and give a row each; a document's length does not matter; an empty table on
+of one key with different texts are judged apart, and give a row each; rows alike in key and text give one row together; a document's length does not matter; an empty table on
 either side gives no rows; other columns of documents do not matter.
 """
 
@@ -23,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import storage
+from .skew import counted_lookup
 from .text import Texts, slices, windows
 
 SEED, COVERED = 5, 0.5
+HOT, SALTS = 16, 16  # items that have a seed, from which on it is left out where it can be; parts of the documents that ask for it where it cannot
 BITS = 1 << 22, 1 << 28  # of the bitmap, at least and at most; 32 for each of the benchmark's seeds in between
 BITMAPS = 16  # partitions whose bitmaps the driver unites
 BASE, PRIME = 1_000_003, (1 << 61) - 1
@@ -77,16 +81,23 @@ def items_of(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     return items.withColumn("ident", F.xxhash64(F.col("item").isNull(), "item", "words")).dropDuplicates(["ident"])
 
 
+def places_in(seeds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, bit in it) of each seed in a packed bitmap of so many bits."""
+    at = seeds % np.uint64(size)
+    return at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+
 def bitmap(items: DataFrame) -> np.ndarray:
     """Packed bits: which seeds there are, mod the number of bits."""
     seeds = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
     size = min(BITS[1], max(BITS[0], 1 << (32 * seeds).bit_length()))
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            bits[np.asarray(batch.column(0).flatten()).view(np.uint64) % np.uint64(size)] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+            byte, bit = places_in(np.asarray(batch.column(0).flatten()).view(np.uint64), size)
+            np.bitwise_or.at(bits, byte, bit)
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
 
     out = np.zeros(size // 8, np.uint8)
     for row in items.select("seeds").coalesce(BITMAPS).mapInArrow(united, "bits binary").toLocalIterator():
@@ -99,12 +110,13 @@ def stretches(docs: DataFrame, key: str, text: str, bits: np.ndarray) -> DataFra
     shared = storage.broadcast(docs.sparkSession, bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(shared.value).view(bool)
+        there = shared.value
         for batch in batches:
             for at, _, texts in slices(batch.column(2)):
                 value, docs = words(texts)
                 seeds, _, first = windows(value, docs, SEED, texts.n)
-                hits = first[there[seeds % np.uint64(len(there))]]
+                byte, bit = places_in(seeds, 8 * len(there))
+                hits = first[(there[byte] & bit) > 0]
                 if not len(hits):
                     continue
                 begins = np.concatenate(([True], (hits[1:] != hits[:-1] + 1) | (docs[hits[1:]] != docs[hits[:-1]])))
@@ -184,22 +196,70 @@ def _free_runs(a: list[bool], b: list[bool]) -> list[list[int]]:
     return [*runs, run] if run else runs
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = COVERED) -> DataFrame:
-    """(key, item, item_words, covered_words, n_tiles, coverage) of each document that holds an item."""
-    items = storage.written(items_of(benchmark, item, item_text), "items")
-    parts = storage.written(stretches(docs, key, text, bitmap(items)), "stretches")
-    need = F.ceil(F.ceil(F.size("words") * least) / SEED)  # seeds in tiles that cover enough
-    of_seed = items.select("ident", need.alias("need"), F.explode("seeds").alias("seed")).groupBy("ident", "seed").agg(F.count("*").alias("places"), F.first("need").alias("need"))
+def reach(stretches: list[list[int]], own: list[int]) -> int:
+    """Words of an item that lie in one of its seeds that the stretches have too: no tiles cover more."""
+    seeds = lambda x: seeds_of(np.array(x, np.int64).view(np.uint64))
+    hits = np.flatnonzero(np.isin(seeds(own), np.concatenate([seeds(x) for x in stretches])))
+    covered = np.zeros(len(own), bool)
+    for k in range(SEED):
+        covered[hits + k] = True
+    return int(covered.sum())
+
+
+def spans(places: Column) -> Column:
+    """The number of words in the five-word spans at these places."""
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + SEED - 1)))))
+
+
+def asked_for(items: DataFrame, least: float) -> DataFrame:
+    """(ident, item, words, kept array<struct<seed, items, places>>, left array<int>): seeds that documents are asked for, and places of those left out, which cover less than ``least``."""
+    own = items.select("ident", F.posexplode("seeds").alias("place", "seed")).groupBy("ident", "seed").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    own = storage.written(own, "item-seeds")
+    frequent = own.groupBy("seed").agg(F.count("*").alias("items")).withColumn("n", F.col("items"))
+    own = counted_lookup(own, frequent, ["seed"], "n", own.count()).groupBy("ident").agg(F.collect_list(F.struct("seed", "items", "places")).alias("own"))
+    hot = HOT
+
+    @F.arrow_udf("array<int>")
+    def left(own: pa.Array, n_words: pa.Array) -> pa.Array:
+        out = []
+        for seeds, n in zip(own.to_pylist(), n_words.to_pylist(), strict=True):
+            covered, places = set(), []
+            for x in sorted((x for x in seeds if x["items"] > hot), key=lambda x: (-x["items"], x["places"])):
+                more = covered.union(*(range(p, p + SEED) for p in x["places"]))
+                if len(more) / n < least:
+                    covered, places = more, places + x["places"]
+            out.append(places)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    found = items.join(own, "ident").withColumn("left", left("own", F.size("words")))
+    kept = F.filter("own", lambda x: ~F.array_contains(F.col("left"), F.element_at(x["places"], 1)))
+    return found.select("ident", "item", "words", kept.alias("kept"), "left")
+
+
+def candidates(items: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """(key, row, ident, item, words): pairs of stretches (see ``stretches``) and items whose shared seeds may cover ``least`` of the item."""
 
     @F.arrow_udf("array<bigint>")
     def seeds(column: pa.Array) -> pa.Array:
         return pa.array([np.unique(seeds_of(np.array(x, np.int64).view(np.uint64)).view(np.int64)) for x in column.to_pylist()], pa.list_(pa.int64()))
 
-    asked = parts.select("key", "row", F.explode(seeds("words")).alias("seed")).distinct()
-    met = asked.join(of_seed, "seed").groupBy("key", "row", "ident").agg(F.sum("places").alias("places"), F.first("need").alias("need")).filter("places >= need")
-    met = storage.written(met.select("key", "row", "ident"), "met")
-    joined = met.alias("m").join(parts.alias("p"), F.expr("m.key <=> p.key and m.row = p.row")).select("m.key", "m.row", "m.ident", "p.no", "p.words")
-    pairs = storage.written(joined.groupBy("key", "row", "ident").agg(F.sort_array(F.collect_set(F.struct("no", "words"))).alias("parts")).select("key", "ident", F.col("parts.words").alias("parts")), "pairs")
+    asked = storage.written(parts.select("key", "row", F.explode(seeds("words")).alias("seed")).distinct(), "asked")
+    chosen = storage.written(asked_for(items, least), "asked-for")
+    places = chosen.select("ident", F.explode("kept").alias("k")).select("ident", "k.*")
+    few = places.filter(F.col("items") <= HOT).groupBy("seed").agg(F.collect_list(F.struct("ident", "places")).alias("own"))  # HOT at most
+    few = few.join(asked.groupBy("seed").agg(F.count("*").alias("n")), "seed")
+    met = counted_lookup(asked, few, ["seed"], "n", asked.count()).filter("own is not null").select("key", "row", F.inline("own"))
+    many = places.filter(F.col("items") > HOT).select("seed", "ident", "places", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("key", "row"), F.lit(SALTS)).cast("int"))
+    met = met.unionByName(salted.join(many, ["seed", "salt"]).select("key", "row", "ident", "places"))
+    pairs = storage.written(met.groupBy("key", "row", "ident").agg(F.flatten(F.collect_list("places")).alias("places")), "met")  # an item's places at most
+    needed = chosen.select("ident", "item", "words", "left").join(pairs.groupBy("ident").agg(F.count("*").alias("n")), "ident")
+    found = counted_lookup(pairs, needed, ["ident"], "n", pairs.count())
+    return found.filter(spans(F.concat("places", "left")) / F.size("words") >= least).select("key", "row", "ident", "item", "words")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = COVERED) -> DataFrame:
+    """(key, item, item_words, covered_words, n_tiles, coverage) of each document that holds an item. What it writes on the way is deleted."""
 
     @F.arrow_udf("struct<covered:long,n:long>")
     def tiled(parts: pa.Array, words: pa.Array) -> pa.Array:
@@ -209,11 +269,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             for s in stretch:
                 a += [*s, 0]
                 stops.add(len(a) - 1)
-            found = tiles(a, own, SEED, frozenset(stops))
+            found = tiles(a, own, SEED, frozenset(stops)) if reach(stretch, own) / len(own) >= least else []
             covered.append(sum(k for _, _, k in found))
             n.append(len(found))
         return pa.StructArray.from_arrays([pa.array(covered, pa.int64()), pa.array(n, pa.int64())], ["covered", "n"])
 
-    found = pairs.join(items.select("ident", "item", "words"), "ident").withColumn("tiled", tiled("parts", "words"))
-    found = found.select(F.col("key").alias(key), F.col("item").alias(item), F.size("words").cast("long").alias("item_words"), F.col("tiled.covered").alias("covered_words"), F.col("tiled.n").alias("n_tiles"))
-    return found.withColumn("coverage", F.col("covered_words") / F.col("item_words")).filter(F.col("coverage") >= least)
+    with storage.scratch(docs.sparkSession) as keep:
+        items = storage.written(items_of(benchmark, item, item_text), "items")
+        parts = storage.written(stretches(docs, key, text, bitmap(items)).dropDuplicates(["key", "row", "no"]), "stretches")
+        pairs = storage.written(candidates(items, parts, least), "pairs").alias("m")
+        whole = parts.groupBy("key", "row").agg(F.sort_array(F.collect_list(F.struct("no", "words"))).alias("parts")).alias("p")
+        found = pairs.join(whole, F.expr("m.key <=> p.key and m.row = p.row")).select("m.key", "m.item", "m.words", F.col("p.parts.words").alias("parts"))
+        found = found.withColumn("tiled", tiled("parts", "words"))
+        found = found.select(F.col("key").alias(key), F.col("item").alias(item), F.size("words").cast("long").alias("item_words"), F.col("tiled.covered").alias("covered_words"), F.col("tiled.n").alias("n_tiles"))
+        return keep(found.withColumn("coverage", F.col("covered_words") / F.col("item_words")).filter(F.col("coverage") >= least), "leaks")

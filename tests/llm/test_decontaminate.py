@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 
 from pagewright.llm import decontaminate as d
 from pagewright.llm import text
@@ -88,7 +89,23 @@ def test_leaks_by_unicode(spark):
     assert {(r.doc_id, r.item_id, r.coverage) for r in found} == {(k, (k - 1) % 3 + 1, 1.0) for k in range(1, 7)}
 
 
-def test_all_pairs_against_plain_tiling(spark):
+def test_shared_boilerplate_makes_no_pairs(spark):
+    """Items that share twelve words of forty with each other and with every document: no document is a leak, and none is tiled."""
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randint(0, 10**9)}"
+    common = [word() for _ in range(12)]
+    items = [(i, " ".join([*(word() for _ in range(14)), *common, *(word() for _ in range(14))])) for i in range(300)]
+    docs = [(i, " ".join([word(), *common, word()])) for i in range(2999)] + [(2999, items[7][1])]
+    benchmark, documents = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    own = d.items_of(benchmark, "item_id", "text")
+    parts = d.stretches(documents, "doc_id", "text", d.bitmap(own))
+    assert [(r.key, r.item) for r in d.candidates(own, parts, 0.5).collect()] == [(2999, 7)]
+    assert [(r.doc_id, r.item_id) for r in d.leaks(documents, benchmark).collect()] == [(2999, 7)]
+
+
+@pytest.mark.parametrize("hot", [0, 2, 16])
+def test_all_pairs_against_plain_tiling(spark, monkeypatch, hot):
+    monkeypatch.setattr(d, "HOT", hot)
     draw = random.Random(3)
     word = lambda: f"w{draw.randint(0, 500)}"
     common = [word() for _ in range(8)]  # in every item
