@@ -142,6 +142,14 @@ def chunks(spark, sf_dir):
     return structure.to_chunks(fixtures.lines(spark, sf_dir)).withColumn("metadata", F.to_json("metadata"))
 
 
+def chunks_titled(spark, sf_dir):
+    """Smaller chunks that carry a book title and, but for each twelfth document, a chapter."""
+    part = F.col("doc_id") % 12
+    chapter = F.when(part == 0, "").otherwise(F.concat(F.lit("Chapter "), part.cast("string")))
+    found = structure.to_chunks(fixtures.lines(spark, sf_dir), chunk.ChunkOptions(600, 80, 40), book_title="Collected notes", chapter_name=chapter)
+    return found.withColumn("metadata", F.to_json("metadata"))
+
+
 def chunk_stats(spark, sf_dir):
     size = F.length("content")
     return chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(size).alias("n_chars"), F.max(size).alias("longest"), F.min(size).alias("shortest"))
@@ -256,7 +264,7 @@ def queries():
         "normalize_text": _on_lines("normalized", lambda: t.normalize(F.col("line"))),
         "strip_digits_seps": _on_lines("stripped", lambda: t.strip_digits(F.col("line"))),
         "pipe_candidate": _on_lines("candidate", lambda: t.is_pipe_candidate(F.col("line"))),
-        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate, related_exact, related_indexed, card_schedule, note_changes, card_accepted, card_rejected)},
+        **{f.__name__: f for f in (pipe_lines, page_number_prefix, numbered_drop, md_sections, section_names, code_blocks, chunks, chunks_titled, chunk_stats, char_count, note_json, render_prompt, parse_cards, card_validate, related_exact, related_indexed, card_schedule, note_changes, card_accepted, card_rejected)},
     }
 
 

@@ -180,32 +180,37 @@ no_numbers as materialized (with lines as (select * from no_pipes), {PAGE_PASS})
 clean_lines as materialized (with lines as (select * from no_numbers), {NUMBER_PASS}),
 clean_texts as (select doc_id, string_agg(line, chr(10) order by line_no) as markdown from clean_lines group by doc_id)"""
 
-def _cut(level: int, separator: str | None) -> str:
+def _cut(level: int, separator: str | None, size: int) -> str:
     """The pieces of what is too long at a level: (doc_id, section_no, path, i, piece, longs); longs counts the too long ones before."""
     parts = "range(length(piece))" if separator is None else f"range(len(string_split(piece, {separator})))"
     piece = "substr(piece, i + 1, 1)" if separator is None else f"(case when i > 0 then {separator} else '' end) || string_split(piece, {separator})[i + 1]"
-    return f"""cut{level} as materialized (select *, coalesce(sum((length(piece) >= 1000)::int) over (partition by doc_id, section_no, path order by i rows between unbounded preceding and 1 preceding), 0) as longs
+    return f"""cut{level} as materialized (select *, coalesce(sum((length(piece) >= {size})::int) over (partition by doc_id, section_no, path order by i rows between unbounded preceding and 1 preceding), 0) as longs
   from (select doc_id, section_no, path, i, {piece} as piece from (select *, unnest({parts}) as i from long{level})) where piece <> ''),
-long{level + 1} as (select doc_id, section_no, list_append(path, i) as path, piece from cut{level} where length(piece) >= 1000)"""
+long{level + 1} as (select doc_id, section_no, list_append(path, i) as path, piece from cut{level} where length(piece) >= {size})"""
 
 
-#: Pieces under the chunk size (1000) that follow each other are a group. A chunk takes as many of a group as fit; the next begins with the earliest piece from
-#: which on no more than the overlap (150) is taken over and its own first new piece still fits. ends: characters of the group up to each piece.
-SPLIT = f"""{SECTIONS},
+def split(size: int, overlap: int, least: int) -> str:
+    """Sections to chunks. Pieces under the chunk size that follow each other are a group. A chunk takes as many of a group as fit; the next begins with the earliest
+    piece from which on no more than the overlap is taken over and its own first new piece still fits. ends: characters of the group up to each piece.
+    """
+    cuts = ", ".join(_cut(n, separator, size) for n, separator in enumerate(("chr(10) || chr(10)", "chr(10)", "' '", None), 1))
+    return f"""{SECTIONS},
 guarded as materialized (select *, regexp_extract_all(content, '```[\\s\\S]*?```') as blocks, regexp_split_to_array(content, '```[\\s\\S]*?```') as outside from sections),
 long1 as (select doc_id, section_no, cast([] as bigint[]) as path, array_to_string(list_transform(range(len(outside)), lambda i: outside[i + 1] || case when i < len(blocks) then 'CODE_BLOCK_PLACEHOLDER_' || i else '' end), '') as piece from guarded where content <> ''),
-{_cut(1, "chr(10) || chr(10)")}, {_cut(2, "chr(10)")}, {_cut(3, "' '")}, {_cut(4, None)},
-short as (select *, sum(length(piece)) over (partition by doc_id, section_no, path, longs order by i) as upto from ({" union all ".join(f"select * from cut{n} where length(piece) < 1000" for n in (1, 2, 3, 4))})),
+{cuts},
+short as (select *, sum(length(piece)) over (partition by doc_id, section_no, path, longs order by i) as upto from ({" union all ".join(f"select * from cut{n} where length(piece) < {size}" for n in (1, 2, 3, 4))})),
 groups as materialized (select doc_id, section_no, list_append(path, min(i)) as place, list(piece order by i) as pieces, list(upto order by i) as ends from short group by doc_id, section_no, path, longs),
-walk_(doc_id, section_no, place, first, last) as (select doc_id, section_no, place, 1, len(list_filter(ends, lambda e: e <= 1000)) from groups
-  union all select doc_id, section_no, place, begin, len(list_filter(ends, lambda e: e <= 1000 + case when begin > 1 then ends[begin - 1] else 0 end))
+walk_(doc_id, section_no, place, first, last) as (select doc_id, section_no, place, 1, len(list_filter(ends, lambda e: e <= {size})) from groups
+  union all select doc_id, section_no, place, begin, len(list_filter(ends, lambda e: e <= {size} + case when begin > 1 then ends[begin - 1] else 0 end))
   from (select *, 1 + (least_ > 0)::int + len(list_filter(ends, lambda e: e < least_)) as begin
-    from (select w.*, g.ends, greatest(g.ends[w.last] - 150, g.ends[w.last + 1] - 1000) as least_ from walk_ w join groups g on g.doc_id = w.doc_id and g.section_no = w.section_no and g.place = w.place where w.last < len(g.ends)))),
+    from (select w.*, g.ends, greatest(g.ends[w.last] - {overlap}, g.ends[w.last + 1] - {size}) as least_ from walk_ w join groups g on g.doc_id = w.doc_id and g.section_no = w.section_no and g.place = w.place where w.last < len(g.ends)))),
 windows as (select w.doc_id, w.section_no, w.place, w.first, {strip("array_to_string(g.pieces[w.first:w.last], '')")} as content from walk_ w join groups g on g.doc_id = w.doc_id and g.section_no = w.section_no and g.place = w.place),
 restored as (select w.*, s.h1, s.h2, s.h3, {strip("list_reduce(list_prepend(w.content, s.blocks), lambda text, block, i: replace(text, 'CODE_BLOCK_PLACEHOLDER_' || (i - 2), block))")} as whole
   from windows w join guarded s on s.doc_id = w.doc_id and s.section_no = w.section_no where w.content <> ''),
-chunks as materialized (select doc_id, cast(row_number() over (partition by doc_id order by section_no, place, first) - 1 as int) as chunk_index, whole as content, h1, h2, h3 from restored where length(whole) >= 100)"""
+chunks as materialized (select doc_id, cast(row_number() over (partition by doc_id order by section_no, place, first) - 1 as int) as chunk_index, whole as content, h1, h2, h3 from restored where length(whole) >= {least})"""
 
+
+SPLIT = split(1000, 150, 100)
 RESOLVED = """t as (select conv_id as note_id, row_number() over (partition by conv_id order by turn) - 1 as card_no, concat(conv_id, case when turn % 5 = 4 then ':' else '::' end, turn) as id,
   case role when 'user' then 'qa' when 'assistant' then 'cloze' else role end as type, text as back, string_split(text, ' ')[1] as word, concat('turn-', turn % 3) as source_path, turn from conversations),
 c as (select *, case when type = 'cloze' and card_no % 4 = 1 then '{{c1::' || word || '}}' else word end as front,
@@ -269,6 +274,10 @@ from conversations""",
     "chunks": f"""with recursive {SPLIT}
 select doc_id, chunk_index, content, '' as book_title, '' as chapter_name, coalesce(h1, h2, h3, '') as section_name,
   map_from_entries(list_filter([{{'k': 'Header 1', 'v': h1}}, {{'k': 'Header 2', 'v': h2}}, {{'k': 'Header 3', 'v': h3}}], lambda x: x.v is not null))::json::varchar as metadata from chunks""",
+    "chunks_titled": f"""with recursive {split(600, 80, 40)},
+in_chapters as (select *, case when doc_id % 12 = 0 then '' else 'Chapter ' || (doc_id % 12) end as chapter from chunks)
+select doc_id, chunk_index, content, 'Collected notes' as book_title, coalesce(chapter, '') as chapter_name, coalesce(h1, h2, h3, '') as section_name, map_from_entries(list_filter([{{'k': 'Header 1', 'v': h1}}, {{'k': 'Header 2', 'v': h2}},
+  {{'k': 'Header 3', 'v': h3}}, {{'k': 'book_title', 'v': 'Collected notes'}}, {{'k': 'chapter_name', 'v': nullif(chapter, '')}}], lambda x: x.v is not null))::json::varchar as metadata from in_chapters""",
     "chunk_stats": f"with recursive {SPLIT} select doc_id, count(*) as n_chunks, cast(sum(length(content)) as bigint) as n_chars, cast(max(length(content)) as int) as longest, cast(min(length(content)) as int) as shortest from chunks group by doc_id",
     "related_exact": """with v as (select vec_id, embedding::double[] as e from embeddings),
 p as (select a.vec_id, b.vec_id as neighbor, round(list_cosine_similarity(a.e, b.e), 9) as similarity from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
