@@ -43,8 +43,11 @@ def _code_states(lines: DataFrame) -> DataFrame:
         return F.struct(now.alias("open"), F.concat(acc["seen"], F.array(F.struct(x["line_no"].alias("line_no"), now.alias("open")))).alias("seen"))
 
     states = fences.select("doc_id", F.inline(F.aggregate("fences", begin, step, lambda acc: acc["seen"])))
-    so_far = W.partitionBy("doc_id").orderBy("line_no")
-    return lines.join(states, ["doc_id", "line_no"], "left").withColumn("in_code", F.coalesce(F.last("open", ignorenulls=True).over(so_far), F.lit(0)) > 0).drop("open")
+    # states go in before their lines, so that the lines are shuffled once, by document, as the windows that follow need them
+    both = lines.withColumn("_line", F.lit(1)).unionByName(states.withColumn("_line", F.lit(0)), allowMissingColumns=True)
+    so_far = W.partitionBy("doc_id").orderBy("line_no", "_line")
+    both = both.withColumn("in_code", F.coalesce(F.last("open", ignorenulls=True).over(so_far), F.lit(0)) > 0)
+    return both.filter("_line = 1").drop("open", "_line")
 
 
 def sections(lines: DataFrame) -> DataFrame:
