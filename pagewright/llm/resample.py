@@ -1,9 +1,7 @@
 """Target-distribution importance resampling over hashed n-grams of words.
 
-Identical texts are brought together by grouping full texts, written once with their number. Features and weights are worked out once for
-each of them: counts by bucket are multiplied by that number, and weights are joined back to the documents by the text's SHA-256
-before each document adds noise of its own. Texts that are a five-hundredth of all are joined by broadcast (skew.counted_lookup).
-The draw is the head of an order over all documents (ranks.ranked): one range shuffle of numbers.
+Texts are read where they lie, once for the counts by bucket and once for the weights, and are never shuffled or written: identical texts
+are worked out each, which costs less than to bring all texts together. The draw is the head of an order over all documents (ranks.ranked): one range shuffle of numbers.
 
 The driver sees BUCKETS counts at most of each table; they are sent to tasks as BUCKETS gains.
 
@@ -20,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import crc, ranks, skew, storage
+from . import crc, ranks, storage
 from .text import Texts, slices
 
 BUCKETS, ORDERS = 10_000, 3  # buckets of features; words of the longest feature
@@ -50,20 +48,18 @@ def buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.bincount(docs, minlength=texts.n), np.concatenate(of), (np.concatenate(hashes) % np.uint32(BUCKETS)).astype(np.int64)
 
 
-def counts(grouped: DataFrame) -> np.ndarray:
-    """How often each bucket's features are in the texts (text, n), each taken n times."""
+def counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket's features are in the only column of texts; null is the empty text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            times = batch.column(1).to_numpy()
-            for at, to, texts in slices(batch.column(0)):
-                _, docs, found = buckets(texts)
-                sums += np.bincount(found, times[at:to][docs], BUCKETS).astype(np.int64)
+            for _, _, some in slices(batch.column(0)):
+                sums += np.bincount(buckets(some)[2], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums)], ["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in grouped.select("text", "n").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows
+    for r in texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows
         out[r["bucket"]] = r["n"]
     return out
 
@@ -74,29 +70,19 @@ def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.floor(1000 * np.log((t + 1) * (s.sum() + BUCKETS) / ((s + 1) * (t.sum() + BUCKETS)))).astype(np.int64)
 
 
-def together(texts: DataFrame, text: str) -> DataFrame:
-    """(text, n): each text once, with its number of rows; null is the empty text."""
-    return texts.groupBy(F.coalesce(F.col(text), F.lit("")).alias("text")).agg(F.count("*").alias("n"))
-
-
-def digest(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
-
-
-def weighed(grouped: DataFrame, gain: np.ndarray) -> DataFrame:
-    """(digest, n, n_words, n_features, weight) of texts (text, n)."""
-    shared = storage.broadcast(grouped.sparkSession, gain)
+def weighed(rows: DataFrame, gain: np.ndarray) -> DataFrame:
+    """(key, n_words, n_features, weight) of rows (key, text)."""
+    shared = storage.broadcast(rows.sparkSession, gain)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, texts in slices(batch.column(0)):
+            for at, to, texts in slices(batch.column(1)):
                 words, docs, found = buckets(texts)
                 features = np.bincount(docs, minlength=texts.n)
                 weight = np.bincount(docs, shared.value[found], texts.n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(2)[at:to], batch.column(1)[at:to], *map(pa.array, (words, features, weight))], ["digest", "n", "n_words", "n_features", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], *map(pa.array, (words, features, weight))], ["key", "n_words", "n_features", "weight"])
 
-    rows = grouped.select("text", "n", digest(F.col("text")).alias("digest"))
-    return rows.mapInArrow(weigh, "digest binary, n long, n_words long, n_features long, weight long")
+    return rows.mapInArrow(weigh, f"key {dict(rows.dtypes)['key']}, n_words long, n_features long, weight long")
 
 
 def noise(key: Column, seed: int) -> Column:
@@ -108,14 +94,10 @@ def noise(key: Column, seed: int) -> Column:
 def resampled(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
     """(key, n_features, weight, score, rank) of each document; rank counts from 1 for the drawn ``percent`` of those with ``least`` words, else it is null."""
     with storage.scratch(docs.sparkSession) as keep:
-        grouped = storage.written(together(docs.select(text), text), "texts")
-        gain = gains(counts(grouped), counts(together(target.select(text), text)))
-        weights = storage.written(weighed(grouped, gain), "weights")
-        rows = docs.select(F.col(key).alias("key"), digest(F.col(text)).alias("digest"))
-        total = weights.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        joined = skew.counted_lookup(rows, weights, ["digest"], "n", total)
+        gain = gains(counts(docs.select(text)), counts(target.select(text)))
+        rows = weighed(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), gain)
         score = F.col("weight") + noise(F.col("key"), seed)
-        scored = storage.written(joined.select("key", "n_words", "n_features", "weight", score.alias("score")), "scored")
+        scored = storage.written(rows.withColumn("score", score), "scored")
         able = scored.filter(F.col("n_words") >= least)
         placed = ranks.ranked(able, F.col("score").desc(), F.col("key").asc_nulls_last())
         drawn = able.count() * percent // 100

@@ -79,3 +79,19 @@ def test_counted_lookup(spark):
     got = skew.counted_lookup(left, right.filter("k <> 3"), ["k"], "n", 3000)
     want = {r.k: r.most for r in right.collect()}
     assert got.count() == 3000 and all(r.most == (None if r.k == 3 else want[r.k]) for r in got.collect())
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """Grouping full texts shuffled and wrote all of them, over an executor's memory."""
+    docs = spark.createDataFrame([(i, f"some words of text {i % 3}", "other") for i in range(50)], "doc_id long, text string, source string")
+    written, given = resample.storage.written, []
+
+    def looked_at(df, name, root=None):
+        given.append((name, df.columns, df._jdf.queryExecution().toString()))
+        return written(df, name, root)
+
+    monkeypatch.setattr(resample.storage, "written", looked_at)
+    got = resample.resampled(docs, spark.createDataFrame([("words of",)], "text string"), least=1, percent=10)
+    assert got.count() == 50 and got.filter("rank is not null").count() == 5
+    assert all("text" not in columns and "Aggregate [text" not in plan and "Aggregate [coalesce(text" not in plan for _, columns, plan in given)
+    assert "texts" not in [name for name, _, _ in given]
