@@ -28,6 +28,7 @@ from . import storage
 from .skew import lookup
 
 ROLL = 32 << 20  # compressed bytes after which a file is closed
+PART = 1 << 13  # compressed bytes unpacked at a time
 DATE = "2024-01-01T00:00:00Z"  # of every record, so that bytes depend on the input alone
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, crc32 long"
@@ -77,13 +78,16 @@ def info_record(name: str) -> bytes:
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields by lower-case name, block) of each record, member by member."""
-    rest = memoryview(data)
-    while len(rest):
-        unpacker = zlib.decompressobj(31)
-        plain = unpacker.decompress(rest) + unpacker.flush()
+    data, at = memoryview(data), 0
+    while at < len(data):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof and at < len(data):
+            parts.append(unpacker.decompress(data[at : at + PART]))  # what lies behind the member is copied each time, so little is given
+            at += PART
         if not unpacker.eof:
             raise ValueError("cut-off WARC member")
-        rest = rest[len(rest) - len(unpacker.unused_data) :]
+        at = min(at, len(data)) - len(unpacker.unused_data)
+        plain = b"".join(parts)
         head, _, block = plain.partition(b"\r\n\r\n")
         fields = dict((k.lower(), v) for k, _, v in (x.partition(": ") for x in head.decode().split("\r\n")[1:]))
         size = int(fields["content-length"])

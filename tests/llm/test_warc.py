@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 from pathlib import Path
 
 import pytest
@@ -62,3 +63,25 @@ def test_lookup_with_hot_and_null_keys(spark):
     right = spark.createDataFrame([("hot", 1), ("4", 2), ("x", 3)], "k string, v int")
     got = {r.i: r.v for r in skew.lookup(left, right, "k").collect()}
     assert len(got) == 3000 and all(v == (1 if i % 3 == 0 else 2 if i == 4 else None) for i, v in got.items())
+
+
+def test_reading_grows_with_the_file(monkeypatch):
+    """Each member was given the whole rest of its file, which was copied for each record."""
+    payloads = [b"", b"x" * 100_000, hashlib.sha256(b"1").digest() * 3, *(b"%d" % i for i in range(500)), b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(4000))]
+    data = b"".join(warc.page_record(i, "u", p, None) for i, p in enumerate(payloads))
+    given, made = [], zlib.decompressobj
+
+    class Counted:
+        def __init__(self, *how):
+            self.own = made(*how)
+
+        def decompress(self, part, *most):
+            given.append(len(part))
+            return self.own.decompress(part, *most)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    assert [block.partition(b"\r\n\r\n")[2] for _, block in warc.records(data)] == payloads
+    assert sum(given) <= len(data) + len(payloads) * warc.PART
