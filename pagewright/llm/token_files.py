@@ -142,6 +142,9 @@ class Encoder(dict):
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         if ids(" Ab1  cD\nE, f's.") != [i for part in ("ab1", "cd", "e", ",", "f's", ".") for i in ids(part)]:
             raise ValueError(f"{path}: its ids are not those of lower-cased words in a row")
+        self.model, added = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(self.is_plain(t.encode()) for t in added) or any(ids(w) != [t.id for t in self.model.tokenize(w)] for w in ("q", "the", "zxqvning")):
+            raise ValueError(f"{path}: its ids of plain words are not those of its model")
         self.ends = {c.encode(): array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
 
     def texts(self, texts: list[str]) -> list[bytes]:
@@ -154,24 +157,26 @@ class Encoder(dict):
             self.old = dict(self)
             self.clear()
             old, new = old | self.old, set().union(*parted)
-        unknown, stems = [], set()
+        marked, stems = [], {}
         for word in new:
             if (known := old.get(word)) is not None:
                 self[word] = known
-            else:
-                unknown.append(word)
-                stem, _ = self.stem(word)
-                if stem not in self:
-                    stems.add(stem)
-        stems = list(stems)
-        for stem, ids in zip(stems, self.encoded(stems), strict=True):
-            self[stem] = ids
-        for word in unknown:
+                continue
             stem, end = self.stem(word)
             if end:
-                self[word] = self[stem] + self.ends[end]
+                marked.append((word, stem, end))
+            if stem not in self:
+                stems[stem] = None
+        others = [s for s in stems if not self.is_plain(s)]
+        for stem in stems:
+            if self.is_plain(stem):
+                self[stem] = array("I", [t.id for t in self.model.tokenize(stem.decode())]).tobytes()
+        for stem, ids in zip(others, self.encoded(others), strict=True):
+            self[stem] = ids
+        for word, stem, end in marked:
+            self[word] = self[stem] + self.ends[end]
         out = [b"".join(map(self.__getitem__, words)) for words in parted]
-        for word in {*unknown, *stems}:
+        for word in [*stems, *(word for word, _, _ in marked)]:
             if len(word) > KEPT_LENGTH:
                 del self[word]
         return out
@@ -181,6 +186,11 @@ class Encoder(dict):
         """The word without a last full stop or comma after an ASCII letter or digit, where the pre-tokenizer parts it anyway; and that mark."""
         return (word[:-1], word[-1:]) if word[-1:] in (b".", b",") and word[-2:-1].isalnum() else (word, b"")
 
+    @staticmethod
+    def is_plain(word: bytes) -> bool:
+        """Small letters of ASCII alone: what precedes the library's model leaves them as they are and in one piece."""
+        return word.isalpha() and word.islower()
+
     def encoded(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word; many are encoded at once with a special token between them, which parts any text."""
         out: list[bytes] = []

@@ -82,3 +82,20 @@ def test_files_round_trip(spark):
 
 def test_empty_table(spark):
     assert round_trip(spark, []) == []
+
+
+def test_plain_words_go_to_the_model_alone():
+    """What precedes the library's model took most of the time of new words."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, draw, asked = Tokenizer.from_file(path), token_files.Encoder(path), random.Random(8), []
+    plain = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(1, 90))) for _ in range(300)]
+    odd = ["don't", "x1", "é", "ﬁ", "1,", "a,.", "<|x", "q.r"]
+    before = own.encoded
+    own.encoded = lambda words: asked.extend(words) or before(words)
+    for given in (plain + odd, [w.upper() for w in plain], [w + "." for w in plain], [w + "," for w in plain[:9] + odd]):
+        text = " ".join(given)
+        assert np.frombuffer(own.texts([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not any(w.isalpha() and w.islower() for w in asked) and asked
+    assert all(len(w) <= token_files.KEPT_LENGTH for w in own)
