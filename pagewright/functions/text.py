@@ -9,7 +9,7 @@ SEPARATORS = r"[\s\x0b\x1c-\x1f\x85\p{Z}\p{Nd}\-–—:|]"
 EDGE_MARKS = r"[\s\x0b\x1c-\x1f\x85\p{Z}\-–—:|]"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
-STRIP = rf"\A{SPACE}+|{SPACE}+\z"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))  # all that SPACE fits
 PUNCTUATION = r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]"
 HEADER_LINE = rf"\A{SPACE}*#{{1,4}}{SPACE}+[^\s\x0b\x1c-\x1f\x85\p{{Z}}]"
 CAPTION = rf"(?i)\A{SPACE}*table{SPACE}+\p{{Nd}}+(?:[-.]\p{{Nd}}+)?[:.]?{SPACE}*"
@@ -23,8 +23,8 @@ def replaced(text: Column, pattern: str, by: str = "") -> Column:
 
 
 def strip(text: Column) -> Column:
-    """White space off both ends, by Python's idea of it."""
-    return replaced(text, STRIP)
+    """White space off both ends, by Python's idea of it; a pattern would look through the whole text."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:

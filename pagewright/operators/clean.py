@@ -80,12 +80,14 @@ def drop_running_headers(paragraphs: DataFrame, headers: DataFrame, compat: bool
     but a footer; whether a sentence is open there depends on the page before in the same way, so each page is worked out
     for both cases and the cases are folded along the document.
     """
-    df = paragraphs.withColumn("_text", paragraph_text(F.col("spans")))
     text = F.col("_text")
     shielded = F.coalesce(F.regexp_extract(text, "([A-Za-z])", 1).rlike("[a-z]"), F.lit(False))
-    asked = df.filter(F.contains(text, F.lit("|")) & ~shielded).select("doc_id", "page_no", "para_no", text.alias("text"))
+    with_text = lambda df: df.withColumn("_text", paragraph_text(F.col("spans")))
+    asked = with_text(paragraphs).filter(F.contains(text, F.lit("|")) & ~shielded).select("doc_id", "page_no", "para_no", text.alias("text"))
     of_page = header_cuts(asked, headers, compat).groupBy("doc_id", "page_no").agg(F.map_from_entries(F.collect_list(F.struct("para_no", F.struct("cut", "footer")))).alias("_cuts"))
-    df = df.join(of_page, ["doc_id", "page_no"], "left").withColumn("_found", F.try_element_at("_cuts", F.col("para_no"))).drop("_cuts")
+    there = paragraphs.filter("doc_id is not null and page_no is not null")  # as the last join asks; said here, both that read it share its shuffle
+    pages_of = with_text(there.repartition("doc_id", "page_no"))
+    df = pages_of.join(of_page, ["doc_id", "page_no"], "left").withColumn("_found", F.try_element_at("_cuts", F.col("para_no"))).drop("_cuts")
     first = F.row_number().over(_page().orderBy("para_no")) == 1
     df = df.withColumn("_cut", F.col("_found.cut")).withColumn("_waits", first & F.coalesce(~F.col("_found.footer"), F.lit(False)))
     cut_spans = F.when(F.col("_cut").isNull(), F.col("spans")).otherwise(with_first_text(F.col("spans"), F.col("_cut"), compat))

@@ -42,7 +42,7 @@ def header_level(text: Column, ratio: Column, bold: Column, mixed: Column, has_b
     excluded = (text == "") | F.lower(text).rlike(rf"\A(?:{'|'.join(NOT_HEADERS)})") | text.rlike("[()]") | mixed | (words > MAX_WORDS)
     demoted = has_before & ~spaced & (ratio < 1.3) & ~(bold & (ratio >= 1.2))
     by_size = F.when((ratio >= 1.5) | (bold & (ratio >= 1.3)), 1).when((ratio >= 1.3) | (bold & (ratio >= 1.15)), 2).when((ratio >= 1.15) | bold, 3).otherwise(0)
-    return F.when(excluded | demoted, 0).otherwise(by_size)
+    return F.when((by_size == 0) | demoted | excluded, 0).otherwise(by_size)  # patterns last: most texts are no headers by size
 
 
 def known_headers(levelled: DataFrame) -> DataFrame:

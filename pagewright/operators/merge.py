@@ -27,10 +27,11 @@ def page_joins(paragraphs: DataFrame) -> DataFrame:
 
 def join_pages(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs with those that go on joined; a hyphen at the break goes, and the two spans around it become one."""
-    before = page_joins(paragraphs).filter("joins").select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(True).alias("_joined"))
+    after = page_joins(paragraphs).filter("joins").select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(True).alias("_joined"))
     in_page, in_doc = W.partitionBy("doc_id", "page_no").orderBy("para_no"), W.partitionBy("doc_id").orderBy("page_no", "para_no")
-    df = paragraphs.join(before, ["doc_id", "page_no"], "left")
-    df = df.withColumn("_goes_back", F.coalesce("_joined", F.lit(False)) & (F.row_number().over(in_page) == 1))
+    # marks go in before the first paragraph of their page, so that paragraphs are shuffled once, by document
+    both = paragraphs.unionByName(after, allowMissingColumns=True).repartition("doc_id")
+    df = both.withColumn("_goes_back", F.coalesce(F.lag("_joined").over(in_page), F.lit(False))).filter("_joined is null")
     df = df.withColumn("_next", F.when(F.lead("_goes_back").over(in_doc), F.lead("spans").over(in_doc)))
     last, first = F.element_at("spans", -1), F.col("_next")[0]
     text = t.replaced(last["text"], rf"{t.SPACE}*-{t.SPACE}*\z")

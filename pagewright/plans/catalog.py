@@ -81,7 +81,7 @@ def drop_captions(spark, sf_dir):
 
 def running_headers(spark, sf_dir):
     found, baselines = _paragraphs(spark, sf_dir)
-    return _with_text(clean.drop_running_headers(found, headers.known_headers(headers.with_levels(found, baselines))))
+    return _with_text(clean.drop_running_headers(found, structure.kept(headers.known_headers(headers.with_levels(found, baselines)))))
 
 
 def page_merge(spark, sf_dir):
@@ -103,9 +103,11 @@ def full_markdown(spark, sf_dir):
 
 def document_summary(spark, sf_dir):
     """(doc_id, n_headers, n_paragraphs, n_chars, markdown_sha) of the whole chain."""
-    levelled = structure.kept(structure.to_levelled(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir)))
-    counts = levelled.groupBy("doc_id").agg(F.count_if(F.col("level") > 0).alias("n_headers"), F.count("*").alias("n_paragraphs"))
-    texts = markdown.to_text(structure.to_lines(levelled))
+    levelled = structure.to_emitted(fixtures.spans(spark, sf_dir), fixtures.tables(spark, sf_dir))
+    counts = structure.kept(levelled.groupBy("doc_id").agg(F.count_if(F.col("level") > 0).alias("n_headers"), F.count("*").alias("n_paragraphs")))
+    lines = structure.kept(markdown.to_lines(markdown.emit(levelled)))
+    structure.let_go(levelled)
+    texts = markdown.to_text(structure.cleaned_lines(lines))
     return counts.join(texts, "doc_id").select("doc_id", "n_headers", "n_paragraphs", F.length("markdown").cast("long").alias("n_chars"), F.sha2("markdown", 256).alias("markdown_sha"))
 
 
