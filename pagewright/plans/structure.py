@@ -66,7 +66,10 @@ def cleaned_lines(lines: DataFrame) -> DataFrame:
 
 def to_markdown(spans: DataFrame, tables: DataFrame, compat: bool = True) -> DataFrame:
     """(doc_id, markdown)."""
-    return markdown.to_text(to_lines(to_levelled(spans, tables, compat)))
+    joined, baselines = to_joined(spans, tables, compat)
+    lines = kept(markdown.to_lines(markdown.emit(levelled(joined, baselines))))
+    let_go(joined, baselines)
+    return markdown.to_text(cleaned_lines(lines))
 
 
 def to_chunks(lines: DataFrame, options: chunk.ChunkOptions = chunk.ChunkOptions(), **names) -> DataFrame:
